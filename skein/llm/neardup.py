@@ -2,7 +2,9 @@
 
 1. A document's set is its distinct 3-word shingles as 64-bit hashes. Documents with equal sets form a class (grouped by
    a 128-bit key of the set), so copies never form pairs; everything after works on one representative of each class.
-2. 64 MinHash samples form 16 bands of 4. A link of similarity 0.85 is missed by all bands with probability 8e-6.
+2. 64 MinHash samples (the least hashes of 16 parts of the hash range, under 4 hash functions) form 16 bands of 4. A link
+   of similarity 0.85 is missed by all bands with probability 8e-6. Sets of up to 64 shingles, where samples would repeat,
+   use the prefixes of their sorted hashes instead, of which linked sets share a member for certain.
    The samples are also folded into an odd sketch: a 256-bit parity bitmap whose XOR population count estimates the
    similarity, so that band partners that are no near match are given up before their sets are fetched.
 3. Band buckets are worked off in rounds. In a round, some members of each bucket are centres: first the one with the
@@ -14,7 +16,6 @@
 
 from __future__ import annotations
 
-import random
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,8 @@ ROWS, BANDS, BITS = 4, 16, 256
 #: a deviation of 2.9; 30 differing samples (7 deviations) flip at most 60 of 256 bits.
 MAX_FLIPS = 60
 SALTS = 16
+#: Up to so many shingles, candidates come from prefixes. The prefix of n hashes has n - ceil(0.85 n) + 1 of them.
+SMALL = 64
 
 
 def shingles(text: Column) -> tuple[Column, ...]:
@@ -44,18 +47,33 @@ def sets(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", words.alias("w")).select("doc_id", F.sort_array(hs).alias("hs"))
 
 
-def signatures(documents: DataFrame) -> DataFrame:
-    """(doc_id, n, k1, k2, bands, s0..s3): set size, set key, band keys and odd sketch. Equal rows become one."""
-    rng = random.Random(5)
-    xor = [[rng.getrandbits(63) for _ in range(BANDS)] for _ in range(ROWS)]
-    s = sets(documents).select("doc_id", F.size("hs").cast("long").alias("n"), F.xxhash64("hs").alias("k1"), F.xxhash64(F.lit(7), F.col("hs")).alias("k2"), F.explode_outer("hs").alias("h"))
-    s = s.select("doc_id", "n", "k1", "k2", *[F.when(F.col("h").isNotNull(), F.xxhash64(F.lit(r), F.col("h"))).alias(f"h{r}") for r in range(ROWS)])
-    g = s.groupBy("doc_id", "k1", "k2", "n").agg(*[F.min(F.col(f"h{r}").bitwiseXOR(F.lit(xor[r][b]))).alias(f"m{r}_{b}") for r in range(ROWS) for b in range(BANDS)])
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{r}_{b}") for r in range(ROWS)]) for b in range(BANDS)])
-    bits = F.transform(F.array(*[F.col(f"m{r}_{b}") for r in range(ROWS) for b in range(BANDS)]), lambda m, i: F.pmod(F.xxhash64(i, m), F.lit(BITS)).cast("int"))
-    g = g.select("doc_id", "n", "k1", "k2", bands.alias("bands"), bits.alias("bits"))
+def arc_minima(h: str) -> str:
+    """SQL for 16 MinHash samples of the sorted array ``h``: the least value of each sixteenth of the hash range, or,
+    where that is empty, the next value on the circle."""
+    first = f"filter({h}, (x, i) -> i = 0 or shiftright(x, 60) <> shiftright({h}[i - 1], 60))"
+    fill = f"flatten(transform(f, (x, i) -> array_repeat(x, cast(shiftright(x, 60) - if(i = 0, -9L, shiftright(f[greatest(i - 1, 0)], 60)) as int))))"
+    tail = "array_repeat(f[0], cast(7L - shiftright(element_at(f, -1), 60) as int))"
+    return f"transform(array({first}), f -> concat({fill}, {tail}))[0]"
+
+
+def signatures(documents: DataFrame, num: int, den: int) -> DataFrame:
+    """(doc_id, n, k1, k2, keys, s0..s3): set size, set key, candidate keys and odd sketch. Equal rows become one.
+
+    Sets of up to ``SMALL`` shingles have as keys the prefix that every linked pair shares a member of (exact); larger
+    ones their MinHash bands; those about the boundary have both. An empty set has no keys.
+    """
+    d = sets(documents).withColumn("n", F.size("hs").cast("long"))
+    for r in range(1, ROWS):
+        d = d.withColumn(f"h{r}", F.expr(f"sort_array(transform(hs, x -> xxhash64(x, {r})))"))
+    d = d.select("doc_id", "n", "hs", F.xxhash64("hs").alias("k1"), F.xxhash64(F.lit(7), F.col("hs")).alias("k2"), *[F.when(F.col("n") > 0, F.expr(arc_minima("hs" if r == 0 else f"h{r}"))).alias(f"m{r}") for r in range(ROWS)])
+    bands = F.expr("transform(m0, (x, i) -> xxhash64(i, x, m1[i], m2[i], m3[i]))")
+    prefix = F.expr(f"transform(slice(hs, 1, cast(n - ceil(n * {num} / {den}) + 1 as int)), x -> xxhash64('prefix', x))")
+    none = F.array().cast("array<bigint>")
+    keys = F.when(F.col("n") == 0, none).otherwise(F.concat(F.when(F.col("n") <= SMALL * den // num + 1, prefix).otherwise(none), F.when(F.col("n") > SMALL * num // den, bands).otherwise(none)))
+    bits = F.expr(f"transform(concat(m0, m1, m2, m3), (m, i) -> cast(pmod(xxhash64(i, m), {BITS}) as int))")
+    d = d.select("doc_id", "n", "k1", "k2", keys.alias("keys"), bits.alias("bits"))
     word = lambda q: F.expr(f"aggregate(bits, 0L, (a, p) -> a ^ if(p div 64 = {q}, shiftleft(1L, p % 64), 0L))")
-    return g.select("doc_id", "n", "k1", "k2", "bands", *[word(q).alias(f"s{q}") for q in range(BITS // 64)])
+    return d.select("doc_id", "n", "k1", "k2", "keys", *[word(q).alias(f"s{q}") for q in range(BITS // 64)]).dropDuplicates(["doc_id", "k1", "k2"])
 
 
 def components(edges: DataFrame, labels: DataFrame | None, at: str, name: str) -> DataFrame:
@@ -87,19 +105,20 @@ def confirmed(documents: DataFrame, pairs: DataFrame, num: int, den: int, at: st
 
 
 def classes(documents: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document; doc_ids are expected to be unique.
+    """doc_id, n_shingles, component_id, kept for every document; doc_ids are expected to be unique. Bands and sketch are
+    laid out for thresholds num / den of 0.85 or more.
 
     Null texts and texts without words have an empty set, are linked with nothing and kept. Rows that repeat a doc_id
     with an equal set give one row. Other columns are ignored.
     """
     at = scratch(documents.sparkSession)
     documents = documents.select("doc_id", "text")
-    sig = table(signatures(documents), at, "signatures")
+    sig = table(signatures(documents, num, den), at, "signatures")
     groups = table(sig.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), at, "groups")
     copies = groups.where("c > 1").select("k1", "k2", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     member = sig.withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("int")).join(copies, ["k1", "k2", "salt"], "left")
     member = table(member.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), at, "members")
-    reps = sig.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("v"), "n", "s0", "s1", "s2", "s3", F.explode("bands").alias("key"))
+    reps = sig.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("v"), "n", "s0", "s1", "s2", "s3", F.explode("keys").alias("key"))
     reps = table(reps, at, "reps")
     sizes = table(reps.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), at, "sizes")
     inb = reps.join(sizes, "key")
