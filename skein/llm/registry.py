@@ -1,8 +1,8 @@
 """The queries of the corpus operators and their oracle SQL."""
 
-from . import bpe, decontam, neardup, quality, secrets
+from . import bpe, chat, decontam, langid, lm, neardup, quality, search, secrets, warc
 
-MODULES = [decontam, neardup, secrets, bpe, quality]
+MODULES = [warc, lm, decontam, search, neardup, secrets, chat, langid, bpe, quality]
 
 
 def queries():
