@@ -114,7 +114,7 @@ def lookup(chunks: DataFrame, total: int, count: Callable[[pa.RecordBatch], dict
 
     sent = chunks.mapInArrow(send, "bucket int, chunk bigint, words array<string>, ns array<bigint>")
     out = sent.groupBy("bucket").applyInArrow(work, f"chunk bigint, words array<string>, values array<{kind}>")
-    out.repartition("chunk").write.partitionBy("chunk").parquet(f"{at}/{name}")
+    out.repartition("chunk").write.partitionBy("chunk").option("compression", "zstd").parquet(f"{at}/{name}")
     return f"{at}/{name}"
 
 

@@ -54,6 +54,10 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
+def width(path: str) -> str:
+    return "<u2" if len(pieces(path)) <= 1 << 16 else "<u4"
+
+
 def split(text: str, path: str) -> list[str]:
     """The words of a text, special tokens as words of their own; joined they are the text."""
     rx, ids = special(path)
@@ -68,12 +72,12 @@ def split(text: str, path: str) -> list[str]:
 
 
 def encode_words(words: list[str], path: str) -> pa.Array:
-    """For each word {ids: its ids as little-endian 32 bits, odd: its decoded text where that isn't the word}."""
-    t, table = tokenizer(path), pieces(path)
+    """For each word {ids: its ids as little-endian integers (``width``), odd: its decoded text where that isn't the word}."""
+    t, table, kind = tokenizer(path), pieces(path), width(path)
     ids, odd = [], []
     for k in range(0, len(words), 10_000):
         for w, e in zip(words[k : k + 10_000], t.encode_batch(words[k : k + 10_000], add_special_tokens=False)):
-            ids.append(np.array(e.ids, "<u4").tobytes())
+            ids.append(np.array(e.ids, kind).tobytes())
             back = b"".join([table[i] for i in e.ids]).decode("utf-8", "replace")
             odd.append(None if back == w else back)
     return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(odd, pa.string())], ["ids", "odd"])
@@ -100,7 +104,7 @@ def encoded(documents: DataFrame, path: str) -> DataFrame:
                 ids = odd = {}
                 words, v = values_of(folder, chunk)
                 if words:
-                    ids = {w: ",".join(map(str, np.frombuffer(x, "<u4").tolist())) for w, x in zip(words, v.field("ids").to_pylist())}
+                    ids = {w: ",".join(map(str, np.frombuffer(x, width(path)).tolist())) for w, x in zip(words, v.field("ids").to_pylist())}
                     odd = {w: x for w, x in zip(words, v.field("odd").to_pylist()) if x is not None}
                 now = chunk
             for k in range(0, b.num_rows, 100):
