@@ -20,6 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._arrays import lean
 from ._common import table
 
 CHUNK_BYTES = 32 << 20
@@ -112,7 +113,7 @@ def lookup(chunks: DataFrame, total: int, count: Callable[[pa.RecordBatch], dict
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
         return pa.table({"chunk": t.column("chunk").combine_chunks(), "words": lists, "values": pa.ListArray.from_arrays(offsets, values)})
 
-    sent = chunks.mapInArrow(send, "bucket int, chunk bigint, words array<string>, ns array<bigint>")
+    sent = chunks.mapInArrow(lean(send), "bucket int, chunk bigint, words array<string>, ns array<bigint>")
     out = sent.groupBy("bucket").applyInArrow(work, f"chunk bigint, words array<string>, values array<{kind}>")
     out.repartition("chunk").write.partitionBy("chunk").option("compression", "zstd").parquet(f"{at}/{name}")
     return f"{at}/{name}"

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._arrays import lean
 from ._chunks import by_chunk, chunked, lookup, quiet, values_of
 from ._common import read, scratch
 
@@ -116,7 +117,7 @@ def encoded(documents: DataFrame, path: str) -> DataFrame:
                 n = pa.array([x.count(",") + 1 if x else 0 for x in lists], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(k, 100), n, pa.array(lists), pa.array(texts)], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return chunks.mapInArrow(join, "doc_id bigint, n_tokens bigint, ids string, decoded string")
+    return chunks.mapInArrow(lean(join), "doc_id bigint, n_tokens bigint, ids string, decoded string")
 
 
 def digests(documents: DataFrame, path: str) -> DataFrame:
@@ -128,7 +129,7 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
             sha = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in b.column(c).to_pylist()], pa.string()) for c in (2, 3)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *sha], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return e.mapInArrow(digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return e.mapInArrow(lean(digest), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def default_path() -> str:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import SCHEMA, collect, gather, pieces, send
+from ._arrays import lean, SCHEMA, collect, gather, pieces, send
 from ._common import read
 
 SIZE = 1 << 16
@@ -83,7 +83,7 @@ def identify(documents: DataFrame, train: F.col, languages: list[str] | None = N
         yield from send(c)
 
     if k:
-        c = collect(gather(docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(count, SCHEMA)), k * SIZE).reshape(k, SIZE)
+        c = collect(gather(docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(lean(count), SCHEMA)), k * SIZE).reshape(k, SIZE)
         logp = np.ascontiguousarray(np.log((c + 0.5) / (c.sum(1, keepdims=True) + 0.5 * SIZE)).T.astype(np.float32))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +111,7 @@ def identify(documents: DataFrame, train: F.col, languages: list[str] | None = N
                     sets.append("")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], ["doc_id", "lang_pred", "score", "languages"])
 
-    return docs.select("doc_id", "text").mapInArrow(predict, "doc_id bigint, lang_pred string, score double, languages string")
+    return docs.select("doc_id", "text").mapInArrow(lean(predict), "doc_id bigint, lang_pred string, score double, languages string")
 
 
 def op8_language(spark, sf_dir):

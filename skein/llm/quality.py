@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import collect, gather, pieces, send, word_hashes, SCHEMA
+from ._arrays import lean, collect, gather, pieces, send, word_hashes, SCHEMA
 from ._common import read, scratch, small, table
 
 TRIGRAMS, BIGRAMS = 1 << 16, 1 << 14
@@ -89,7 +89,7 @@ def resampled(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LAB
                     c[1] += np.bincount(f[good[row]], minlength=SIZE)
         yield from send(c.reshape(-1))
 
-    sent = docs.join(lab, "doc_id", "left").select("text", "good").mapInArrow(count, SCHEMA)
+    sent = docs.join(lab, "doc_id", "left").select("text", "good").mapInArrow(lean(count), SCHEMA)
     raw, target = collect(gather(sent), 2 * SIZE).reshape(2, SIZE).astype(float)
     ratio = np.zeros(SIZE, np.float32)
     if target.sum():
@@ -107,7 +107,7 @@ def resampled(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LAB
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(w)], ["doc_id", "n_features", "log_weight"])
 
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
-    scored = docs.mapInArrow(weigh, "doc_id bigint, n_features bigint, log_weight double").withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
+    scored = docs.mapInArrow(lean(weigh), "doc_id bigint, n_features bigint, log_weight double").withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
     scored = table(scored, at, "scored")
     cut = threshold([(r.log_weight, r.n_features, r.good) for r in scored.join(lab, "doc_id").select("log_weight", "n_features", "good").collect()])
     if cut is None:

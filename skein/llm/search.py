@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._arrays import lean
 from ._chunks import by_chunk, chunked, read_folder
 from ._common import read, scratch, table
 
@@ -54,7 +55,7 @@ def frequencies(chunks: DataFrame, total: int, most: int = 400_000) -> DataFrame
         if c:
             yield out()
 
-    return chunks.select("text").mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
+    return chunks.select("text").mapInArrow(lean(count), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def idf(n: int, df: Column) -> Column:
@@ -71,7 +72,7 @@ def queries_of(queries: DataFrame, df: DataFrame, n: int, terms: int) -> DataFra
                 if c:
                     yield pa.RecordBatch.from_arrays([pa.array([q] * len(c), pa.int64()), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["qid", "term", "tf"])
 
-    t = queries.select("doc_id", "text").mapInArrow(split, "qid bigint, term string, tf bigint").join(df, "term").withColumn("idf", idf(n, F.col("df")))
+    t = queries.select("doc_id", "text").mapInArrow(lean(split), "qid bigint, term string, tf bigint").join(df, "term").withColumn("idf", idf(n, F.col("df")))
     t = t.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.round(-F.col("tf") * F.col("idf"), 9), "term"))).where(F.col("r") <= terms)
     return t.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("s")).select("qid", F.col("s.term").alias("terms"), F.col("s.idf").alias("weights"))
 
@@ -159,7 +160,7 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, terms: int = 1
             n = [len(words(t)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([len(n)], pa.int64()), pa.array([sum(n)], pa.int64())], ["n", "words"])
 
-    n, size = chunks.select("text").mapInArrow(lengths, "n bigint, words bigint").agg(F.sum("n"), F.sum("words")).first()
+    n, size = chunks.select("text").mapInArrow(lean(lengths), "n bigint, words bigint").agg(F.sum("n"), F.sum("words")).first()
     n, mean = n or 0, (size or 0) / max(1, n or 0)
     df = frequencies(chunks, total)
     q = queries_of(queries, df, n, terms).withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(1 << 20)))
@@ -197,7 +198,7 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, terms: int = 1
         if ix:
             yield from answer(ix)
 
-    hits = chunks.mapInArrow(run, "query_id bigint, doc_id bigint, score double")
+    hits = chunks.mapInArrow(lean(run), "query_id bigint, doc_id bigint, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
