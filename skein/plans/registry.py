@@ -39,8 +39,13 @@ def P(rest, recursive=False):
     return _with(T.PROV_NODES, T.PROV_EDGES, rest, recursive)
 
 
+def R6(c):
+    """Six decimals. A billionth is added here and in the oracle: the two engines round decimal ties differently."""
+    return F.round(F.col(c) + 1e-9, 6)
+
+
 def W6():
-    return F.round("raw_weight", 6).alias("weight")
+    return R6("raw_weight").alias("weight")
 
 
 EDGE3 = ["source", "target", "relationship"]
@@ -129,26 +134,26 @@ def traverse_filtered(s, d):
 
 
 _RANK = """, X AS (SELECT id FROM L WHERE level < {depth}), R AS (SELECT * FROM E WHERE source IN (SELECT id FROM X)), S AS (SELECT id, greatest(max(v), 0) AS score FROM (SELECT source AS id, {v} AS v FROM R UNION ALL SELECT target, {v} FROM R) GROUP BY id)
-SELECT L.id, L.level, round(coalesce(score, 0), 6) AS score FROM L LEFT JOIN S USING (id)"""
+SELECT L.id, L.level, round(coalesce(score, 0) + 1e-9, 6) AS score FROM L LEFT JOIN S USING (id)"""
 
 
 @query(C(_bfs("customer:1", 2, OUT) + _RANK.format(depth=2, v="w"), True))
 def traverse_ranked(s, d):
     levels, edges = read.traverse(T.commerce(s, d), "customer:1", 2)
-    return read.rank(levels, edges).select("id", "level", F.round("score", 6).alias("score"))
+    return read.rank(levels, edges).select("id", "level", R6("score").alias("score"))
 
 
 @query(C(_bfs("customer:1", 2, OUT) + _RANK.format(depth=2, v="(CASE WHEN q IS NULL THEN 0 ELSE 1 END + CASE WHEN r IS NULL THEN 0 ELSE 1 END)::DOUBLE"), True))
 def rank_corroboration(s, d):
     levels, edges = read.traverse(T.commerce(s, d), "customer:1", 2)
-    return read.rank(levels, edges, "corroboration").select("id", "level", F.round("score", 6).alias("score"))
+    return read.rank(levels, edges, "corroboration").select("id", "level", R6("score").alias("score"))
 
 
 @query(C(_bfs("customer:1", 2, OUT) + _RANK.format(depth=2, v="w / (SELECT sum(w) FROM E x WHERE x.source = R.source)"), True))
 def rank_normalized(s, d):
     g = T.commerce(s, d)
     levels, edges = read.traverse(g, "customer:1", 2)
-    return read.rank(levels, edges, "normalized", read.outgoing_divisive, g.edges).select("id", "level", F.round("score", 6).alias("score"))
+    return read.rank(levels, edges, "normalized", read.outgoing_divisive, g.edges).select("id", "level", R6("score").alias("score"))
 
 
 @query(C(_bfs("customer:1", 6, BOTH) + " SELECT level AS length FROM L WHERE id = 'region:2'", True))
@@ -190,7 +195,7 @@ def evidence_fragments(s, d):
 _PAIR = "(SELECT min(source || '|' || target) AS k FROM E0 WHERE relationship = 'contains')"
 
 
-@query(C(f"SELECT relationship, 'reverse' AS direction, round(w, 6) AS weight, (q IS NOT NULL)::BIGINT + (r IS NOT NULL)::BIGINT AS corroboration FROM E WHERE source || '|' || target = {_PAIR}"))
+@query(C(f"SELECT relationship, 'reverse' AS direction, round(w + 1e-9, 6) AS weight, (q IS NOT NULL)::BIGINT + (r IS NOT NULL)::BIGINT AS corroboration FROM E WHERE source || '|' || target = {_PAIR}"))
 def explain_pair(s, d):
     g = T.commerce(s, d)
     a, b = g.edges.where("relationship = 'contains'").agg(F.min(F.concat_ws("|", "source", "target"))).first()[0].split("|")
@@ -220,22 +225,22 @@ def changes_latest(s, d):
 
 
 # -- weights -----------------------------------------------------------------------------------------------------------
-@query(C("SELECT source, target, relationship, round(w / sum(w) OVER (PARTITION BY source), 6) AS normalized FROM E"))
+@query(C("SELECT source, target, relationship, round(w / sum(w) OVER (PARTITION BY source) + 1e-9, 6) AS normalized FROM E"))
 def norm_divisive(s, d):
-    return read.outgoing_divisive(T.commerce(s, d).edges).select(*EDGE3, F.round("normalized_weight", 6).alias("normalized"))
+    return read.outgoing_divisive(T.commerce(s, d).edges).select(*EDGE3, R6("normalized_weight").alias("normalized"))
 
 
-@query(C(", X AS (SELECT *, exp(w - max(w) OVER (PARTITION BY source)) AS x FROM E) SELECT source, target, relationship, round(x / sum(x) OVER (PARTITION BY source), 6) AS normalized FROM X"))
+@query(C(", X AS (SELECT *, exp(w - max(w) OVER (PARTITION BY source)) AS x FROM E) SELECT source, target, relationship, round(x / sum(x) OVER (PARTITION BY source) + 1e-9, 6) AS normalized FROM X"))
 def norm_softmax(s, d):
-    return read.softmax(T.commerce(s, d).edges).select(*EDGE3, F.round("normalized_weight", 6).alias("normalized"))
+    return read.softmax(T.commerce(s, d).edges).select(*EDGE3, R6("normalized_weight").alias("normalized"))
 
 
-@query(C("SELECT source, target, relationship, round(w, 6) AS weight FROM E"))
+@query(C("SELECT source, target, relationship, round(w + 1e-9, 6) AS weight FROM E"))
 def weights_maxabs(s, d):
     return T.commerce(s, d).edges.select(*EDGE3, W6())
 
 
-@query(C("SELECT source, target, relationship, round(CASE WHEN q IS NULL THEN 1.0 ELSE q / mq END, 6) AS weight FROM E, M WHERE q IS NOT NULL OR r IS NULL"))
+@query(C("SELECT source, target, relationship, round(CASE WHEN q IS NULL THEN 1.0 ELSE q / mq END + 1e-9, 6) AS weight FROM E, M WHERE q IS NOT NULL OR r IS NULL"))
 def retract_contributions(s, d):
     return write.retract(T.commerce(s, d), "revenue")[0].edges.select(*EDGE3, W6())
 
@@ -248,7 +253,7 @@ def retract_counts(s, d):
 _SUPPLIED = "SELECT source, target, relationship, sd, td, CASE WHEN relationship = 'supplied_by' THEN q * 2 ELSE q END AS q, r FROM E0"
 
 
-@query(C(f", X AS ({_SUPPLIED}), Y AS (SELECT max(q) AS mq, max(r) AS mr FROM X) SELECT source, target, relationship, round(CASE WHEN q IS NULL AND r IS NULL THEN 1.0 ELSE coalesce(q / Y.mq, 0) + coalesce(r / Y.mr, 0) END, 6) AS weight FROM X, Y"))
+@query(C(f", X AS ({_SUPPLIED}), Y AS (SELECT max(q) AS mq, max(r) AS mr FROM X) SELECT source, target, relationship, round(CASE WHEN q IS NULL AND r IS NULL THEN 1.0 ELSE coalesce(q / Y.mq, 0) + coalesce(r / Y.mr, 0) END + 1e-9, 6) AS weight FROM X, Y"))
 def merge_edges(s, d):
     g = T.commerce(s, d, False)
     twice = g.edges.where("relationship = 'supplied_by'").withColumn("contributions", F.transform_values("contributions", lambda k, v: v * 2))
@@ -295,15 +300,15 @@ def reject_missing(s, d):
 
 
 # -- enrichments -------------------------------------------------------------------------------------------------------
-_CO = ", X AS (SELECT a.target AS s, b.target AS t, count(*) AS n FROM E a JOIN E b ON a.source = b.source AND a.target < b.target GROUP BY 1, 2), Y AS (SELECT s, t, round(n / (SELECT max(n) FROM X)::DOUBLE, 6) AS w FROM X), Z AS (SELECT s, t, w FROM Y UNION ALL SELECT t, s, w FROM Y)"
+_CO = ", X AS (SELECT a.target AS s, b.target AS t, count(*) AS n FROM E a JOIN E b ON a.source = b.source AND a.target < b.target GROUP BY 1, 2), Y AS (SELECT s, t, n / (SELECT max(n) FROM X)::DOUBLE AS w FROM X), Z AS (SELECT s, t, w FROM Y UNION ALL SELECT t, s, w FROM Y)"
 
 
-@query(G(_CO + " SELECT s AS source, t AS target, w AS weight FROM Z"))
+@query(G(_CO + " SELECT s AS source, t AS target, round(w + 1e-9, 6) AS weight FROM Z"))
 def cooccurrence(s, d):
     return enrich.cooccurrence(T.tags(s, d)).select("source", "target", W6())
 
 
-@query(G(_CO + " SELECT s AS source, t AS target, 'lens:shop:goes_with' AS relationship, w AS weight FROM Z WHERE w >= 0.5"))
+@query(G(_CO + " SELECT s AS source, t AS target, 'lens:shop:goes_with' AS relationship, round(w + 1e-9, 6) AS weight FROM Z WHERE w >= 0.5"))
 def lens_translate(s, d):
     g = T.tags(s, d)
     g = Graph(g.nodes, enrich.cooccurrence(g))

@@ -3,6 +3,8 @@ query with contributions as columns (q, r), which ``graph`` folds into the model
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +41,9 @@ UNION ALL SELECT 'mark:' || conv_id || ':' || turn, 'concept:' || role, 'referen
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def views(spark: SparkSession, sf_dir: str) -> None:
-    for t in TABLES:
+def views(spark: SparkSession, sf_dir: str, *sql: str) -> None:
+    """Views of the tables that the statements name, of all without any."""
+    for t in [t for t in TABLES if not sql or re.search(rf"\b{t}\b", " ".join(sql))]:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
@@ -52,7 +55,7 @@ def edges_of(e: DataFrame, weigh: bool = True) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str, nodes: str, edges: str, weigh: bool = True) -> Graph:
-    views(spark, sf_dir)
+    views(spark, sf_dir, nodes, edges)
     n = spark.sql(nodes)
     kind = F.when(F.col("node_type") == "concept", "concept").when(F.col("dimension") == "provenance", "provenance").otherwise("document")
     n = n.select("id", "node_type", kind.alias("content_type"), "dimension", F.create_map("pkey", F.to_json(F.struct(F.col("pval").alias("v")))).alias("properties"))
