@@ -20,7 +20,7 @@ UNION ALL SELECT 'nation:' || n_nationkey, 'nation', 'relational', 'label', n_na
 UNION ALL SELECT 'region:' || r_regionkey, 'region', 'relational', 'label', r_name FROM region"""
 COMMERCE_EDGES = """
 SELECT 'customer:' || o_custkey AS source, 'order:' || o_orderkey AS target, 'placed' AS relationship, 'structure' AS sd, 'temporal' AS td, CAST(NULL AS DOUBLE) AS q, CAST(NULL AS DOUBLE) AS r FROM orders
-UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey, 'contains', 'temporal', 'structure', sum(l_quantity), round(sum(l_extendedprice * (1 - l_discount)), 2) FROM lineitem GROUP BY l_orderkey, l_partkey
+UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey, 'contains', 'temporal', 'structure', sum(l_quantity), sum(l_extendedprice * (1 - l_discount)) FROM lineitem GROUP BY l_orderkey, l_partkey
 UNION ALL SELECT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'supplied_by', 'structure', 'structure', sum(l_quantity), NULL FROM lineitem GROUP BY l_partkey, l_suppkey
 UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'located_in', 'structure', 'relational', NULL, NULL FROM customer
 UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'located_in', 'structure', 'relational', NULL, NULL FROM supplier
