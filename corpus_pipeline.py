@@ -46,7 +46,7 @@ STAGES = [
     ("bpe", stage_bpe),
 ]
 
-#: SQL can't express the first and the last stage; tests/llm holds the result against a brute-force version.
+#: SQL can't express the first and the last stage. A test against a brute-force version is still to be written.
 ORACLE_SQL = None
 
 
