@@ -5,7 +5,11 @@ estimated: of the target text (labelled documents of good quality that aren't to
 corpus). A document's log weight is the sum of its features' log ratios, target over raw. Documents are resampled
 without replacement by Gumbel top-k: the k largest of log weight + Gumbel noise stay.
 
-k is the number of documents whose log weight is above the threshold that separates the labelled documents best, so
+A few rude words hardly move the sum over a long text, so toxicity is decided by itself: words that labelled toxic
+documents hold more often than others, in either half of the labels, mark a document (by its strongest word, see
+``markers``) as toxic above the threshold that separates the labels best. The target has no such document: none is kept.
+
+k is the number of other documents whose log weight is above the threshold that separates the labelled ones best, so
 about as many documents stay as resemble the target. The target model is fitted on at most ``max_labels`` labelled
 documents (those with the smallest hashes of doc_id); all else covers the whole corpus.
 """
@@ -16,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import lean, collect, gather, pieces, send, word_hashes, SCHEMA
@@ -28,6 +32,10 @@ SIZE = TRIGRAMS + BIGRAMS
 MAX_LABELS = 20_000
 #: Added to each feature's count, per feature, in the target model: weight of the raw model as its prior.
 PRIOR = 2.0
+#: Standard errors taken off a word's log odds of toxicity.
+DOUBT = 1.5
+#: Bytes as they count in whole words: A-Z lower-cased, ASCII that is neither letter nor digit a space.
+PLAIN = np.array([b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
 
 
 def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -45,9 +53,53 @@ def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]
             yield rows[of[1:][same]], f[same].astype(np.int64) + TRIGRAMS
 
 
+def plain_words(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, hash) of the whole words of a batch of texts, piece by piece."""
+    for rows, offsets, b in pieces(texts):
+        starts, h = word_hashes(PLAIN[b])
+        yield rows[np.searchsorted(offsets, starts, "right") - 1], h
+
+
+def markers(docs: DataFrame, lab: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the words that mark toxic documents, and their weights.
+
+    A word's weight is its log odds of toxicity by labelled documents (by piece where one is longer than a piece) that
+    hold it, less ``DOUBT`` standard errors; the smaller of those of the two halves of the labels counts."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind = b.column(1).to_numpy(zero_copy_only=False)
+            for row, h in plain_words(b.column(0).to_pylist()):
+                order = np.lexsort((row, h))
+                row, h = row[order], h[order]
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, bool)
+                at, inv = np.unique(h[new], return_inverse=True)
+                n = np.bincount(inv * 4 + kind[row[new]], minlength=4 * len(at)).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), *[pa.array(n[:, k]) for k in range(4)]], ["h", "n0", "n1", "n2", "n3"])
+
+    kind = F.col("toxic") + 2 * F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")
+    size = {r.kind: r.n for r in docs.select("doc_id").join(lab, "doc_id").groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).collect()}
+    if any(k not in size for k in range(4)):
+        return np.zeros(0, np.uint64), np.zeros(0)
+    sent = docs.join(lab, "doc_id").select("text", kind.cast("int").alias("kind")).mapInArrow(lean(held), "h bigint, n0 bigint, n1 bigint, n2 bigint, n3 bigint")
+    sums = sent.groupBy("h").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)])
+
+    def weight(u: int) -> Column:
+        t, f = F.col(f"n{u + 1}") + 0.5, F.col(f"n{u}") + 0.5
+        return F.log(t / (size[u + 1] + 1)) - F.log(f / (size[u] + 1)) - DOUBT * F.sqrt(1 / t + 1 / f)
+
+    found = sums.where("n1 > 0 and n3 > 0").select("h", F.least(weight(0), weight(2)).alias("w")).where("w > 0").collect()
+    h, w = np.array([r.h for r in found], np.int64).view(np.uint64), np.array([r.w for r in found], float)
+    order = np.argsort(h)
+    return h[order], w[order]
+
+
 def labelled(labels: DataFrame, max_labels: int, at: str) -> DataFrame:
-    """(doc_id, good): a bounded sample, small enough to broadcast."""
-    s = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("good"))
+    """(doc_id, good, toxic): a bounded sample, small enough to broadcast. Good is what is of quality and not toxic; what
+    is toxic needs no known quality."""
+    toxic = F.coalesce(F.col("toxic") > 0, F.lit(False))
+    s = labels.where((F.col("quality").isNotNull() | toxic) & F.col("doc_id").isNotNull())
+    s = s.groupBy("doc_id").agg(F.min(F.when((F.col("quality") > 0) & ~toxic, 1).otherwise(0)).alias("good"), F.max(toxic.cast("int")).alias("toxic"))
     return F.broadcast(table(s.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels), at, "labels"))
 
 
@@ -72,7 +124,7 @@ def resampled(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LAB
     """doc_id, n_features, log_weight, kept: a row for each row of ``documents``.
 
     Null and empty texts have no features and log weight 0. Without labels, or if none is good or none bad, every
-    document stays. Other columns are ignored.
+    document stays that isn't found toxic. Other columns are ignored.
     """
     at = scratch(documents.sparkSession)
     lab = labelled(labels, max_labels, at)
@@ -98,24 +150,35 @@ def resampled(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LAB
             prior = PRIOR * len(p) * p
             ratio[part] = np.log((target[part] + prior) / (target[part].sum() + prior.sum()) / p)
 
+    words, marks = markers(docs, lab)
+
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w, n = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for row, f in features(b.column(1).to_pylist()):
+            w, n, m = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            texts = b.column(1).to_pylist()
+            for row, f in features(texts):
                 w += np.bincount(row, weights=ratio.take(f), minlength=len(w))
                 n += np.bincount(row, minlength=len(w))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(w)], ["doc_id", "n_features", "log_weight"])
+            for row, h in plain_words(texts) if len(words) else ():
+                i = np.minimum(np.searchsorted(words, h), len(words) - 1)
+                hit = words[i] == h
+                np.maximum.at(m, row[hit], marks[i[hit]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(w), pa.array(m)], ["doc_id", "n_features", "log_weight", "mark"])
 
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
-    scored = docs.mapInArrow(lean(weigh), "doc_id bigint, n_features bigint, log_weight double").withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
+    scored = docs.mapInArrow(lean(weigh), "doc_id bigint, n_features bigint, log_weight double, mark double").withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
     scored = table(scored, at, "scored")
-    cut = threshold([(r.log_weight, r.n_features, r.good) for r in scored.join(lab, "doc_id").select("log_weight", "n_features", "good").collect()])
+    seen = scored.join(lab, "doc_id").select("log_weight", "n_features", "good", "mark", "toxic").collect()
+    limit = threshold([(r.mark, 0, r.toxic) for r in seen])
+    clean = F.lit(True) if limit is None else F.col("mark") <= limit
+    cut = threshold([(r.log_weight, r.n_features, r.good) for r in seen if limit is None or r.mark <= limit])
     if cut is None:
-        return scored.select("doc_id", "n_features", "log_weight", F.lit(True).alias("kept"))
-    k = scored.where(F.col("log_weight") > cut).count()
+        return scored.select("doc_id", "n_features", "log_weight", clean.alias("kept"))
+    rest = scored.where(clean)
+    k = rest.where(F.col("log_weight") > cut).count()
     if k == 0:
         return scored.select("doc_id", "n_features", "log_weight", F.lit(False).alias("kept"))
-    return scored.select("doc_id", "n_features", "log_weight", (F.col("key") >= kth(scored, k)).alias("kept"))
+    return scored.select("doc_id", "n_features", "log_weight", (clean & (F.col("key") >= kth(rest, k))).alias("kept"))
 
 
 def threshold(rows: list[tuple[float, int, int]]) -> float | None:

@@ -78,6 +78,14 @@ def test_quality(spark, edge, none):
     assert quality.resampled(none, labels).isEmpty()
 
 
+def test_quality_drops_toxic(spark):
+    text = lambda i, rude: " ".join(f"word{(i * 7 + k) % 50}" for k in range(400)) + (" Moron, you." if rude else "")
+    docs = [(i, text(i, i % 4 == 0)) for i in range(160)] + [(200 + i, "buy!!! $$$ " * 40) for i in range(40)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(80)] + [(200 + i, 0, 0) for i in range(20)]
+    r = rows(quality.resampled(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")))
+    assert all(v.kept == (k < 200 and k % 4 > 0) for k, v in r.items())  # those from 80 and from 220 on have no label
+
+
 def test_language(spark, edge, none):
     docs = spark.createDataFrame([(i, ("the house and the tree " if i % 2 else "das haus und der baum ") * 5, "en" if i % 2 else "de") for i in range(20)] + [(50, None, "en"), (51, "123", "en")], "doc_id bigint, text string, lang string")
     r = rows(langid.identify(docs, F.col("doc_id") < 10))
