@@ -365,15 +365,12 @@ def enrichment_loop(s, d):
 
 @query()
 def components(s, d):
-    g = T.commerce(s, d, False)
-    return enrich.components(Graph(g.nodes.where("node_type not in ('order', 'part')"), g.edges.where("relationship = 'located_in'")))
+    return enrich.components(T.commerce(s, d, False))
 
 
 @query()
 def pagerank(s, d):
-    g = T.commerce(s, d, False)
-    n = g.nodes.where("node_type in ('part', 'supplier')")
-    return enrich.pagerank(Graph(n, g.edges.where("relationship = 'supplied_by'"))).select("id", F.round("pagerank", 9).alias("pagerank"))
+    return enrich.pagerank(T.commerce(s, d, False)).select("id", F.round("pagerank", 9).alias("pagerank"))
 
 
 # -- provenance views and adapters -------------------------------------------------------------------------------------

@@ -80,3 +80,44 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def commerce(spark, tmp_path):
+    """Two customers of one region and its neighbour; an order without lines; a part that nobody supplies."""
+    tables = {
+        "region": ("r_regionkey int, r_name string", [(0, "R0"), (1, "R1")]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "N0", 0), (1, "N1", 1)]),
+        "customer": ("c_custkey int, c_mktsegment string, c_nationkey int", [(1, "a", 0), (2, "b", 0), (3, "c", 1)]),
+        "supplier": ("s_suppkey int, s_name string, s_nationkey int", [(1, "S1", 0), (2, "S2", 1)]),
+        "part": ("p_partkey int, p_brand string", [(1, "x"), (2, "y"), (3, "z")]),
+        "orders": ("o_orderkey int, o_custkey int, o_orderstatus string", [(1, 1, "O"), (2, 3, "F"), (3, 3, "F")]),
+        "lineitem": ("l_orderkey int, l_partkey int, l_suppkey int, l_quantity double, l_extendedprice double, l_discount double", [(1, 1, 1, 2.0, 9.0, 0.1), (2, 2, 2, 1.0, 5.0, 0.0), (2, 2, 2, 4.0, 7.0, 0.0)]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    t = {name: rows for name, (_, rows) in tables.items()}
+    nodes = [f"{k}:{r[0]}" for k, name in (("customer", "customer"), ("order", "orders"), ("part", "part"), ("supplier", "supplier"), ("nation", "nation"), ("region", "region")) for r in t[name]]
+    edges = {(f"customer:{c}", f"order:{o}") for o, c, _ in t["orders"]} | {(f"customer:{c}", f"nation:{n}") for c, _, n in t["customer"]}
+    edges |= {(f"order:{r[0]}", f"part:{r[1]}") for r in t["lineitem"]} | {(f"part:{r[1]}", f"supplier:{r[2]}") for r in t["lineitem"]}
+    edges |= {(f"supplier:{x}", f"nation:{n}") for x, _, n in t["supplier"]} | {(f"nation:{n}", f"region:{r}") for n, _, r in t["nation"]}
+    return nodes, edges
+
+
+def test_registered_components_and_pagerank_cover_the_graph(spark, tmp_path):
+    from skein.plans import registry
+
+    nodes, edges = commerce(spark, tmp_path)
+    label = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert ids(registry.QUERIES["components"](spark, str(tmp_path))) == set(label.items()) and len(set(label.values())) == 3
+    rank, out = dict.fromkeys(nodes, 1 / len(nodes)), {n: [b for a, b in edges if a == n] for n in nodes}
+    for _ in range(20):
+        got = dict.fromkeys(nodes, sum(rank[n] for n in nodes if not out[n]) / len(nodes))
+        for n in nodes:
+            for b in out[n]:
+                got[b] += rank[n] / len(out[n])
+        rank = {n: 0.15 / len(nodes) + 0.85 * got[n] for n in nodes}
+    r = {x.id: x.pagerank for x in registry.QUERIES["pagerank"](spark, str(tmp_path)).collect()}
+    assert r.keys() == rank.keys() and all(r[n] == pytest.approx(rank[n], abs=2e-9) for n in nodes)
