@@ -123,3 +123,21 @@ def test_chat(spark):
     r = {(a.conv_id, a.turn): a for a in chat.linked(spark.createDataFrame(x, "conv_id bigint, turn bigint, role string, text string")).collect()}
     assert r[1, 1].reply_to == 0 and r[1, 2].reply_to == 1 and r[1, 2].thread == 0 and r[1, 1].body == "Fine.\n\nThanks"
     assert r[1, 3].body == "" and r[None, None].reply_to is None
+
+
+def test_chat_partial_quotes(spark):
+    first = "Dear all,\n\nwe meet on\nTuesday at ten\nin the hall\nor outside.\n\nBring cups.\n\nYours"
+    x = [
+        (1, 0, first),
+        (1, 1, "> Tuesday at ten\n> in the hall\nWhich one?"),  # two lines out of a longer paragraph
+        (1, 2, "> Bring cups.\n>\n> Yours\nI will."),  # two paragraphs, a blank quoted line between them
+        (1, 3, "> Tuesday at ten\n> or outside.\nNot what it said."),  # lines that aren't consecutive
+        (1, 4, ">> Tuesday at ten\n>> in the hall\n> Which one?\nThe big one."),
+        (1, 5, "> or outside.\n>\n> Bring cups.\n> Yours\n> and a line of nobody\nHm."),
+        (1, 6, "> Dear all,\n>\n> Yours\nShort."),  # paragraphs with others left out
+        (2, 0, "> Tuesday at ten\n> in the hall\nAnother conversation."),
+    ]
+    m = spark.createDataFrame([(c, t, "u", s) for c, t, s in x], "conv_id bigint, turn bigint, role string, text string")
+    r = {(a.conv_id, a.turn): a for a in chat.linked(m).collect()}
+    assert [r[1, t].reply_to for t in range(7)] == [None, 0, 0, None, 1, None, 0] and r[2, 0].reply_to is None
+    assert r[1, 4].n_linked == 2 and r[1, 4].thread == 0 and r[1, 3].n_quotes == 1 and len(r) == 8
