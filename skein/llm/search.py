@@ -4,9 +4,11 @@ Document frequencies, the number of documents and their mean length are counted
 of the corpus, see ``_chunks``) builds its inverted index with BM25 weights from these global statistics; postings are
 cut into blocks of 64 consecutive documents with their largest weight. For a query, the blocks' bounds (sums of its
 terms' block maxima) are visited from the highest; blocks whose bound is below the k-th score so far are skipped. Shards
-return their k best, of which the k best overall are exact.
+return their k best, of which the k best overall are exact. Where a query has more than ``DENSE`` terms, nearly every
+block's bound is above the k-th score, so all its postings are summed at once; the results are the same.
 
-Queries are documents: the ``terms`` most distinctive words (count times idf) of the whole text of each.
+Queries are documents: all distinct words of the whole text of each, or its ``terms`` most distinctive (count times
+idf). They are read block by block, so a shard holds those of about ``QUERY_TERMS`` terms at once.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from ._common import read, scratch, table
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 K1, B, BLOCK = 1.2, 0.75, 64
-#: Queries that a shard holds in memory at once.
-QUERY_BLOCK = 4096
+#: Terms of queries that a shard holds in memory at once.
+QUERY_TERMS = 1_000_000
+#: Terms of a query above which all of its postings are summed.
+DENSE = 64
 
 
 def words(text: str | None) -> list[str]:
@@ -62,8 +66,8 @@ def idf(n: int, df: Column) -> Column:
     return F.log1p((F.lit(float(n)) - df + 0.5) / (df + 0.5))
 
 
-def queries_of(queries: DataFrame, df: DataFrame, n: int, terms: int) -> DataFrame:
-    """(qid, terms, weights): the most distinctive terms, ties by the term, each weighted by its idf."""
+def queries_of(queries: DataFrame, df: DataFrame, n: int, terms: int | None) -> DataFrame:
+    """(qid, terms, weights): all terms or the most distinctive, ties by the term, each weighted by its idf."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -73,7 +77,8 @@ def queries_of(queries: DataFrame, df: DataFrame, n: int, terms: int) -> DataFra
                     yield pa.RecordBatch.from_arrays([pa.array([q] * len(c), pa.int64()), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["qid", "term", "tf"])
 
     t = queries.select("doc_id", "text").mapInArrow(lean(split), "qid bigint, term string, tf bigint").join(df, "term").withColumn("idf", idf(n, F.col("df")))
-    t = t.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.round(-F.col("tf") * F.col("idf"), 9), "term"))).where(F.col("r") <= terms)
+    if terms is not None:
+        t = t.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.round(-F.col("tf") * F.col("idf"), 9), "term"))).where(F.col("r") <= terms)
     return t.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("s")).select("qid", F.col("s.term").alias("terms"), F.col("s.idf").alias("weights"))
 
 
@@ -117,6 +122,15 @@ class Index:
         ps = [(p, x) for t, x in zip(terms, weights) if (p := self.postings(t)) is not None]
         if not ps:
             return np.zeros(0, np.int64), np.zeros(0)
+        if len(ps) > DENSE:
+            total = np.zeros(len(self.ids))
+            for p, x in ps:
+                total[p[0]] += p[1] * x
+            at = np.flatnonzero(total > 0)
+            if len(at) > k:
+                at = at[total[at] >= np.partition(total[at], len(at) - k)[len(at) - k]]
+            best = at[np.lexsort((self.ids[at], -total[at]))[:k]]
+            return self.ids[best], total[best]
         blocks = np.unique(np.concatenate([p[2] for p, _ in ps]))
         bound = np.zeros(len(blocks))
         for p, x in ps:
@@ -146,9 +160,10 @@ class Index:
         return docs, scores
 
 
-def search(documents: DataFrame, queries: DataFrame, k: int = 10, terms: int = 12) -> DataFrame:
+def search(documents: DataFrame, queries: DataFrame, k: int = 10, terms: int | None = 12) -> DataFrame:
     """query_id, rank, doc_id, score: for each query (doc_id, text) its k best documents; itself, if it is one, too.
 
+    ``terms``: how many words of a query count, None for all.
     Documents that share no term with a query aren't results of it; null and empty texts match nothing and ask for
     nothing. Ties go to the smaller doc_id. Other columns are ignored.
     """
@@ -163,21 +178,26 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, terms: int = 1
     n, size = chunks.select("text").mapInArrow(lean(lengths), "n bigint, words bigint").agg(F.sum("n"), F.sum("words")).first()
     n, mean = n or 0, (size or 0) / max(1, n or 0)
     df = frequencies(chunks, total)
-    q = queries_of(queries, df, n, terms).withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(1 << 20)))
-    q.write.parquet(f"{at}/queries")
-    count = documents.sparkSession.read.schema(q.schema).parquet(f"{at}/queries").count()
-    blocks = max(1, -(-count // QUERY_BLOCK))
+    q = table(queries_of(queries, df, n, terms), at, "asked")
+    size = q.agg(F.sum(F.size("terms"))).first()[0] or 0
+    blocks = max(1, -(-size // QUERY_TERMS))
+    q.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).repartition("block").write.partitionBy("block").parquet(f"{at}/queries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = read_folder(f"{at}/queries")
-        if asked is None or not asked.num_rows:
+        if not size:
             return
-        wanted = set(pc.unique(asked.column("terms").combine_chunks().flatten()).to_pylist()) if asked.num_rows <= QUERY_BLOCK * 4 else None
+        wanted = None
+        if blocks <= 4:
+            parts = [t for k0 in range(blocks) if (t := read_folder(f"{at}/queries/block={k0}")) is not None]
+            wanted = {w for t in parts for w in pc.unique(t.column("terms").combine_chunks().flatten()).to_pylist()}
+            del parts
 
         def answer(ix: Index) -> Iterator[pa.RecordBatch]:
             ix.close()
             for k0 in range(blocks):
-                part = asked.filter(pc.equal(pc.floor(pc.divide(pc.multiply(asked.column("block"), blocks), 1 << 20)), k0))
+                part = read_folder(f"{at}/queries/block={k0}")
+                if part is None:
+                    continue
                 qs, ds, ss = [], [], []
                 for qid, t, w in zip(*(part.column(c).to_pylist() for c in ("qid", "terms", "weights"))):
                     d, s = ix.top(t, w, k)
@@ -205,7 +225,7 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, terms: int = 1
 
 def op4_search(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return search(docs, docs.where("doc_id % 100 = 0"))
+    return search(docs, docs.where("doc_id % 100 = 0"), terms=None)
 
 
 QUERIES = {"op4_search": op4_search}

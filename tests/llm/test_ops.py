@@ -141,3 +141,23 @@ def test_chat_partial_quotes(spark):
     r = {(a.conv_id, a.turn): a for a in chat.linked(m).collect()}
     assert [r[1, t].reply_to for t in range(7)] == [None, 0, 0, None, 1, None, 0] and r[2, 0].reply_to is None
     assert r[1, 4].n_linked == 2 and r[1, 4].thread == 0 and r[1, 3].n_quotes == 1 and len(r) == 8
+
+
+def test_search_counts_every_word(spark, tmp_path):
+    import math
+    from collections import Counter
+
+    word = lambda q, i: f"q{q}w{i}"
+    # queries of 40 and of 100 words; documents that share only words of small tf * idf with them, more and more of them
+    texts = {100 * q: " ".join([word(q, i) for i in range(n)] + [word(q, i) for i in range(12)] * 9) for q, n in ((1, 40), (2, 100))}
+    texts |= {1000 * q + n: " ".join(word(q, i) for i in range(20, 20 + n)) + f" other{n}" for q in (1, 2) for n in range(1, 20)}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tf = {d: Counter(t.split()) for d, t in texts.items()}
+    df, mean = Counter(w for c in tf.values() for w in c), sum(sum(c.values()) for c in tf.values()) / len(tf)
+    want = {}
+    for q in (d for d in texts if d % 100 == 0):
+        score = {d: sum(math.log1p((len(tf) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in c.keys() & tf[q].keys()) for d, c in tf.items()}
+        best = sorted((-s, d) for d, s in score.items() if s)[:10]
+        want |= {(q, k + 1): (d, pytest.approx(-s, abs=2e-6)) for k, (s, d) in enumerate(best)}
+    got = {(r.query_id, r.rank): (r.doc_id, r.score) for r in search.op4_search(spark, str(tmp_path)).collect()}
+    assert got == want and len(want) == 20
