@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,17 @@ def table(df: DataFrame, at: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{at}/{name}")
 
 
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing reads any more, and let Spark clean up the shuffle files of finished jobs, which it
+    does once the driver's references to them are collected."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def small(df: DataFrame, limit: int = MAX_BROADCAST_IDS) -> DataFrame:
     """``df`` (already a table) with a broadcast hint if it has at most ``limit`` rows, else as it is."""
     return F.broadcast(df) if df.count() <= limit else df

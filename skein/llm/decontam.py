@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, read, scratch, small, table
+from ._common import ascii_lower, drop, read, scratch, small, table
 
 #: A word: a run of ASCII letters or digits, or of anything beyond ASCII.
 BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -81,10 +81,11 @@ def report(documents: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
 
 
 def remove_documents(documents: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """The documents that hold no benchmark window, all columns kept."""
-    at = scratch(documents.sparkSession)
-    hits, _ = find(documents, benchmark, at=at, **kw)
+    """The documents that hold no benchmark window, and those without a doc_id, all columns kept."""
+    spark, at = documents.sparkSession, scratch(documents.sparkSession)
+    hits, _ = find(documents, benchmark, at=f"{at}/work", **kw)
     ids = small(table(hits.select("doc_id").distinct(), at, "drop"))
+    drop(spark, f"{at}/work")
     return documents.join(ids, "doc_id", "left_anti").select(documents.columns)
 
 

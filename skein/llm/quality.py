@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import lean, collect, gather, pieces, send, word_hashes, SCHEMA
-from ._common import read, scratch, small, table
+from ._common import drop, read, scratch, small, table
 
 TRIGRAMS, BIGRAMS = 1 << 16, 1 << 14
 SIZE = TRIGRAMS + BIGRAMS
@@ -120,13 +120,13 @@ def kth(keys: DataFrame, k: int, most: int = 10_000) -> float:
     return lo
 
 
-def resampled(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, seed: int = 10) -> DataFrame:
+def resampled(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, seed: int = 10, at: str | None = None) -> DataFrame:
     """doc_id, n_features, log_weight, kept: a row for each row of ``documents``.
 
     Null and empty texts have no features and log weight 0. Without labels, or if none is good or none bad, every
     document stays that isn't found toxic. Other columns are ignored.
     """
-    at = scratch(documents.sparkSession)
+    at = at or scratch(documents.sparkSession)
     lab = labelled(labels, max_labels, at)
     docs = documents.select("doc_id", "text")
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
@@ -196,10 +196,11 @@ def threshold(rows: list[tuple[float, int, int]]) -> float | None:
 
 
 def keep(documents: DataFrame, labels: DataFrame, **kw) -> DataFrame:
-    """The documents that resampling keeps, all columns."""
-    at = scratch(documents.sparkSession)
-    drop = small(table(resampled(documents, labels, **kw).where(~F.col("kept")).select("doc_id"), at, "drop"))
-    return documents.join(drop, "doc_id", "left_anti").select(documents.columns)
+    """The documents that resampling keeps, and those without a doc_id, all columns."""
+    spark, at = documents.sparkSession, scratch(documents.sparkSession)
+    gone = small(table(resampled(documents, labels, at=f"{at}/work", **kw).where(~F.col("kept")).select("doc_id"), at, "drop"))
+    drop(spark, f"{at}/work")
+    return documents.join(gone, "doc_id", "left_anti").select(documents.columns)
 
 
 def op10_quality(spark, sf_dir):

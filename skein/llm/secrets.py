@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import read, scratch, small, table
+from ._common import drop, read, scratch, small, table
 
 
 @dataclass(frozen=True)
@@ -158,9 +158,10 @@ def report(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def remove_documents(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents without a secret, all columns kept."""
-    at = scratch(documents.sparkSession)
-    ids = small(table(find(documents, rules, at).select("doc_id").distinct(), at, "drop"))
+    """The documents without a secret, and those without a doc_id, all columns kept."""
+    spark, at = documents.sparkSession, scratch(documents.sparkSession)
+    ids = small(table(find(documents, rules, f"{at}/work").select("doc_id").distinct(), at, "drop"))
+    drop(spark, f"{at}/work")
     return documents.join(ids, "doc_id", "left_anti").select(documents.columns)
 
 
