@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 BLOCK = 1 << 16
 SCHEMA = "block int, part int, data binary"
-#: Bytes of text hashed at once.
-PIECE = 1 << 18
+#: Bytes of text hashed at once, and of a batch worked on at once.
+PIECE, BATCH_BYTES = 1 << 18, 8 << 20
 
 
 def send(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -27,11 +28,20 @@ def send(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([part], pa.int32()), pa.array([z.compress(c.astype("<i8").tobytes())], pa.binary())], ["block", "part", "data"])
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``BATCH_BYTES``, so what Python makes of one is bounded."""
+    for b in batches:
+        step = max(1, b.num_rows * BATCH_BYTES // max(1, b.nbytes))
+        for k in range(0, b.num_rows, step):
+            yield b.slice(k, step)
+
+
 def lean(f: Callable) -> Callable:
-    """``f``, giving memory back to the system when its task ends: Spark keeps workers for later tasks."""
+    """``f`` over slices of its batches, giving memory back to the system when its task ends: Spark keeps workers for
+    later tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from f(batches)
+        yield from f(sliced(batches))
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -69,6 +79,8 @@ def collect(gathered: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+#: The start of a word after a space.
+WORD = re.compile(rb"(?<=[\x00-\x20])[^\x00-\x20]+")
 R = np.uint64(0x9E3779B97F4A7C15)
 _P: dict[str, np.ndarray] = {}
 
@@ -90,40 +102,58 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes) of the words of bytes ``b``: runs of bytes above 0x20."""
-    solid = b > 32
-    if not solid.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    starts = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
+def ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    ends = np.cumsum(n)
+    return np.repeat(starts - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def word_spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words of bytes ``b``, which begin and end with a space: runs of bytes above 0x20."""
+    edge = np.flatnonzero(np.diff((b > 32).view(np.int8))) + 1
+    return edge[::2], edge[1::2]
+
+
+def word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     p, inv = powers(len(b))
-    v = np.where(solid, b.astype(np.uint64) + np.uint64(1), np.uint64(0)) * p
-    return starts, mix(np.add.reduceat(v, starts) * inv[starts])
+    total = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * p)])
+    return mix((total[ends] - total[starts]) * inv[starts])
+
+
+#: Texts in a piece of bytes: the row of each part, where its bytes begin, how many are its own (the rest belongs to the
+#: next part of the same text), whether the last text goes on in the next piece.
+Piece = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]
 
 
-def pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, offsets, bytes): texts joined by a line feed in pieces of about ``PIECE`` bytes, longer texts cut at a
-    space. A cut costs the n-grams across it; no text is left out."""
+def pieces(texts: list[str | None]) -> Iterator[Piece]:
+    """(rows, starts, own, bytes, more): texts joined in pieces of about ``PIECE`` bytes, a line feed before each and two
+    after it. A longer text is cut before a word, and each part shows the word after it, too: n-grams of its own bytes
+    are whole and none is lost. A word is never cut, so memory grows with the longest word."""
     rows: list[int] = []
     parts: list[bytes] = []
+    owned: list[int] = []
     size = 0
 
-    def out():
-        lengths = np.array([len(p) + 1 for p in parts])
-        return np.array(rows), np.concatenate([[0], np.cumsum(lengths)[:-1]]), np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+    def out(more: bool) -> Piece:
+        lengths = np.array([len(p) + 3 for p in parts])
+        return np.array(rows), np.cumsum(lengths) - lengths + 1, np.array(owned), np.frombuffer(b"".join(b"\n" + p + b"\n\n" for p in parts), np.uint8), more
 
     for i, t in enumerate(texts):
         e = (t or "").encode("utf-8", "surrogatepass")
-        while e:
-            cut = len(e)
-            if cut > PIECE:
-                cut = e.rfind(b" ", 1, PIECE) + 1 or PIECE
+        at = 0
+        while at < len(e):
+            end = shown = len(e)
+            if end - at > PIECE:
+                end = next(WORD.finditer(e, at + PIECE), None)
+                end = end.start() if end else len(e)
+                shown = WORD.match(e, end).end() if end < len(e) else end
             rows.append(i)
-            parts.append(e[:cut])
-            size += cut
-            e = e[cut:]
+            parts.append(e[at:shown])
+            owned.append(end - at)
+            size += end - at
+            at = end
             if size >= PIECE:
-                yield out()
-                rows, parts, size = [], [], 0
+                yield out(at < len(e))
+                rows, parts, owned, size = [], [], [], 0
     if parts:
-        yield out()
+        yield out(False)

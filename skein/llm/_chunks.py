@@ -24,8 +24,6 @@ from ._arrays import lean
 from ._common import table
 
 CHUNK_BYTES = 32 << 20
-#: Rows of a batch sent to Python: bounds memory where texts are long.
-BATCH_ROWS = 1000
 
 
 def open_uri(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -45,9 +43,6 @@ def read_folder(uri: str) -> pa.Table | None:
 
 def chunked(documents: DataFrame, columns: list[str], at: str, size: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
     """The columns with ``chunk`` (bigint) before them, and the bytes of text in all."""
-    spark = documents.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     try:
         d = documents.select(*columns, F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
         d.schema  # noqa: B018

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ._common import read, scratch, table
 
-MARK = "^[ \\t]*(?:>[ \\t]*)+"
+#: Quote marks at the start of a line; possessive, without a repeated group, so that no line overflows the stack.
+MARK = "^[ \\t]*+>[> \\t]*+"
 
 
 def normal(c: Column) -> Column:
@@ -69,13 +70,17 @@ def parts(quoted: DataFrame, own: DataFrame, units: DataFrame) -> DataFrame:
 def linked(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, body, quote_depth, n_quotes, n_linked, reply_to, thread: a row for each message.
 
-    ``body`` is the message without quotes. Null or empty texts have an empty body and no quotes. Messages are taken to
-    be unique by (conv_id, turn), of repeated ones one stays; rows with a null conv_id or turn are linked with nothing.
+    ``body`` is the message without quotes. Null or empty texts have an empty body and no quotes. Fully equal rows give
+    one row. Of different messages with one (conv_id, turn), the first by role and text (nulls first) takes part; the
+    others, and rows with a null conv_id or turn, are returned with their body but linked with nothing.
     Quotes that no earlier message of the conversation has, paragraph by paragraph, stay unlinked; so do quotes of a part
     of a line and of a part of a paragraph in other line breaks. Other columns are ignored.
     """
     at = scratch(messages.sparkSession)
-    m = messages.select("conv_id", "turn", "role", "text").dropDuplicates(["conv_id", "turn"])
+    all_ = messages.select("conv_id", "turn", "role", "text").distinct()
+    first = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    all_ = table(all_.withColumn("alone", (first > 1) | F.col("conv_id").isNull() | F.col("turn").isNull()), at, "all")
+    alone, m = all_.where("alone"), all_.where("not alone").drop("alone")
     quoting = F.coalesce(F.col("text").rlike("(?m)" + MARK), F.lit(False))
     m = table(m.withColumn("quoting", quoting), at, "messages")
     parsed = lines(m.where("quoting"))
@@ -105,7 +110,11 @@ def linked(messages: DataFrame) -> DataFrame:
             break
     out = whole.join(q, ["conv_id", "turn"], "left").join(up, ["conv_id", "turn"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select("conv_id", "turn", "role", "body", zero("quote_depth"), zero("n_quotes"), zero("n_linked"), "reply_to", F.coalesce("top", "turn").alias("thread"))
+    out = out.select("conv_id", "turn", "role", "body", zero("quote_depth"), zero("n_quotes"), zero("n_linked"), "reply_to", F.coalesce("top", "turn").alias("thread"))
+    own = F.filter(F.split(F.coalesce("text", F.lit("")), "\\r?\\n", -1), lambda x: ~x.rlike(MARK))
+    none = [F.lit(0).cast("long").alias(c) for c in ("quote_depth", "n_quotes", "n_linked")]
+    alone = alone.select("conv_id", "turn", "role", F.array_join(own, "\n").alias("body"), *none, F.lit(None).cast(out.schema["reply_to"].dataType).alias("reply_to"), F.col("turn").alias("thread"))
+    return out.unionByName(alone)
 
 
 def op7_chat(spark, sf_dir):

@@ -4,7 +4,8 @@ Built from DataFrame functions only. The distinct normalised benchmark windows a
 its longest word (its anchor); while the training words are scanned, only positions of anchors form candidate windows,
 whose 64-bit hash must be in the set and whose words are then compared one by one (verified).
 
-The set is broadcast if it has at most ``max_windows`` entries; a larger one is joined by shuffle.
+The set is broadcast if it has at most ``max_windows`` windows; a larger one is joined by shuffle, which sends positions
+of words only.
 """
 
 from __future__ import annotations
@@ -46,19 +47,27 @@ def find(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_win
     spark = documents.sparkSession
     at = at or scratch(spark)
     b = table(windows(benchmark, size), at, "windows")
-    by_anchor = small(table(b.groupBy("anchor").agg(F.collect_set(F.struct("at", "n", "h")).alias("spots")), at, "anchors"), max_windows)
     d = documents.select("doc_id", words(F.col("text")).alias("w"))
-    p = d.select("doc_id", "w", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("pos", "anchor"))
-    p = p.join(by_anchor, "anchor", "left").where(F.col("spots").isNotNull() | (F.coalesce(F.col("pos"), F.lit(0)) == 0))
-    c = p.select("doc_id", "n_words", "w", "pos", F.explode_outer("spots").alias("s"))
-    c = c.select("doc_id", "n_words", (F.col("pos") - F.col("s.at")).alias("start"), F.col("s.n").alias("n"), F.col("s.h").alias("h"), "w", "pos")
+    few = b.count() <= max_windows
+    if few:  # one pass; each candidate sees the words beside it
+        by_anchor = F.broadcast(table(b.groupBy("anchor").agg(F.collect_set(F.struct("at", "n", "h")).alias("spots")), at, "anchors"))
+        p = d.select("doc_id", "w", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("pos", "anchor"))
+        p = p.join(by_anchor, "anchor", "left").where(F.col("spots").isNotNull() | (F.coalesce(F.col("pos"), F.lit(0)) == 0))
+        c = p.select("doc_id", "n_words", "w", "pos", F.explode_outer("spots").alias("s"))
+        c = c.select("doc_id", "n_words", (F.col("pos") - F.col("s.at")).alias("start"), F.col("s.n").alias("n"), F.col("s.h").alias("h"), "w", "pos")
+    else:  # the shuffle sends positions only; words come back to documents with a candidate
+        spots = b.select("anchor", "at", "n", "h").distinct()
+        p = d.select("doc_id", F.posexplode("w").alias("pos", "anchor")).join(spots, "anchor")
+        p = p.groupBy("doc_id", (F.col("pos") - F.col("at")).alias("start"), "n", "h").agg(F.min("pos").alias("pos")).where("start >= 0")
+        c = d.join(p, "doc_id").select("doc_id", F.size("w").alias("n_words"), "start", "n", "h", "w", F.greatest("pos", F.lit(1)).alias("pos"))
+        c = c.unionByName(d.select("doc_id", F.size("w").alias("n_words"), *[F.lit(None).cast(t).alias(x) for x, t in (("start", "int"), ("n", "int"), ("h", "bigint"))], "w", F.lit(0).alias("pos")))
     fits = (F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words"))
     c = c.withColumn("gram", F.when(fits, F.slice("w", F.col("start") + 1, F.col("n"))))
     c = c.withColumn("ok", F.coalesce(F.xxhash64("gram") == F.col("h"), F.lit(False)) & F.col("gram").isNotNull())
     c = c.where(F.col("ok") | (F.coalesce(F.col("pos"), F.lit(0)) == 0))
     c = table(c.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.when(F.col("ok"), F.col("start")).alias("start"), F.when(F.col("ok"), F.col("gram")).alias("gram")).distinct(), at, "found")
-    whole = small(b.select("gram", "n", "item_id"), max_windows)
-    hits = c.where("gram is not null").join(whole, "gram").select("doc_id", "start", "n", "item_id").distinct()
+    whole = b.select("gram", "n", "item_id")
+    hits = c.where("gram is not null").join(F.broadcast(whole) if few else whole, "gram").select("doc_id", "start", "n", "item_id").distinct()
     return hits, c.groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
 
 

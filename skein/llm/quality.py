@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import lean, collect, gather, pieces, send, word_hashes, SCHEMA
+from ._arrays import SCHEMA, collect, gather, lean, pieces, ranges, send, word_hashes, word_spans
 from ._common import drop, read, scratch, small, table
 
 TRIGRAMS, BIGRAMS = 1 << 16, 1 << 14
@@ -40,42 +40,47 @@ PLAIN = np.array([b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum()
 
 def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, feature) pairs of a batch of texts, piece by piece."""
-    for rows, offsets, b in pieces(texts):
+    for rows, starts, own, b, _ in pieces(texts):
         x = b.astype(np.uint32)
         tri = (x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA77) + x[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(16)
-        at = np.repeat(np.arange(len(offsets)), np.diff(np.append(offsets, len(b))))[:-2]
-        yield rows[at], tri.astype(np.int64)
-        starts, h = word_hashes(b)
-        if len(h) > 1:
-            of = np.searchsorted(offsets, starts, "right") - 1
-            same = of[1:] == of[:-1]
+        yield np.repeat(rows, own), tri[ranges(starts, own)].astype(np.int64)
+        first, end = word_spans(b)
+        if len(first) > 1:
+            h = word_hashes(b, first, end)
+            of = np.searchsorted(starts, first, "right") - 1
+            mine = (of[1:] == of[:-1]) & (first[:-1] < (starts + own)[of[:-1]])
             f = np.where(h[1:] == h[:-1], np.uint64(0), ((h[:-1] * np.uint64(31) + h[1:]) >> np.uint64(20)) % np.uint64(BIGRAMS - 1) + np.uint64(1))
-            yield rows[of[1:][same]], f[same].astype(np.int64) + TRIGRAMS
+            yield rows[of[:-1][mine]], f[mine].astype(np.int64) + TRIGRAMS
 
 
 def plain_words(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, hash) of the whole words of a batch of texts, piece by piece."""
-    for rows, offsets, b in pieces(texts):
-        starts, h = word_hashes(PLAIN[b])
-        yield rows[np.searchsorted(offsets, starts, "right") - 1], h
+    for rows, starts, own, b, _ in pieces(texts):
+        b = PLAIN[b]
+        first, end = word_spans(b)
+        of = np.searchsorted(starts, first, "right") - 1
+        mine = first < (starts + own)[of]
+        yield rows[of[mine]], word_hashes(b, first[mine], end[mine])
 
 
 def markers(docs: DataFrame, lab: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the words that mark toxic documents, and their weights.
 
-    A word's weight is its log odds of toxicity by labelled documents (by piece where one is longer than a piece) that
-    hold it, less ``DOUBT`` standard errors; the smaller of those of the two halves of the labels counts."""
+    A word's weight is its log odds of toxicity by labelled documents that hold it, less ``DOUBT`` standard errors; the smaller of those of the two halves of the labels counts."""
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kind = b.column(1).to_numpy(zero_copy_only=False)
-            for row, h in plain_words(b.column(0).to_pylist()):
-                order = np.lexsort((row, h))
-                row, h = row[order], h[order]
-                new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, bool)
-                at, inv = np.unique(h[new], return_inverse=True)
-                n = np.bincount(inv * 4 + kind[row[new]], minlength=4 * len(at)).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), *[pa.array(n[:, k]) for k in range(4)]], ["h", "n0", "n1", "n2", "n3"])
+            found = list(plain_words(b.column(0).to_pylist()))
+            if not found:
+                continue
+            row, h = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((row, h))
+            row, h = row[order], h[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, bool)
+            at, inv = np.unique(h[new], return_inverse=True)
+            n = np.bincount(inv * 4 + kind[row[new]], minlength=4 * len(at)).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), *[pa.array(n[:, k]) for k in range(4)]], ["h", "n0", "n1", "n2", "n3"])
 
     kind = F.col("toxic") + 2 * F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")
     size = {r.kind: r.n for r in docs.select("doc_id").join(lab, "doc_id").groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).collect()}
@@ -124,12 +129,12 @@ def resampled(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LAB
     """doc_id, n_features, log_weight, kept: a row for each row of ``documents``.
 
     Null and empty texts have no features and log weight 0. Without labels, or if none is good or none bad, every
-    document stays that isn't found toxic. Other columns are ignored.
+    document stays that isn't found toxic. Rows that tie at the k-th key, such as repeated rows of a doc_id with equal
+    texts, stay or go together, so more than k may stay. doc_id may have any type; other columns are ignored.
     """
     at = at or scratch(documents.sparkSession)
     lab = labelled(labels, max_labels, at)
     docs = documents.select("doc_id", "text")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = np.zeros((2, SIZE), np.int64)
@@ -165,8 +170,9 @@ def resampled(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LAB
                 np.maximum.at(m, row[hit], marks[i[hit]])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(w), pa.array(m)], ["doc_id", "n_features", "log_weight", "mark"])
 
+    kind = documents.schema["doc_id"].dataType.simpleString()
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
-    scored = docs.mapInArrow(lean(weigh), "doc_id bigint, n_features bigint, log_weight double, mark double").withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
+    scored = docs.mapInArrow(lean(weigh), f"doc_id {kind}, n_features bigint, log_weight double, mark double").withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
     scored = table(scored, at, "scored")
     seen = scored.join(lab, "doc_id").select("log_weight", "n_features", "good", "mark", "toxic").collect()
     limit = threshold([(r.mark, 0, r.toxic) for r in seen])

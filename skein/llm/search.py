@@ -76,7 +76,8 @@ def queries_of(queries: DataFrame, df: DataFrame, n: int, terms: int | None) ->
                 if c:
                     yield pa.RecordBatch.from_arrays([pa.array([q] * len(c), pa.int64()), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["qid", "term", "tf"])
 
-    t = queries.select("doc_id", "text").mapInArrow(lean(split), "qid bigint, term string, tf bigint").join(df, "term").withColumn("idf", idf(n, F.col("df")))
+    t = queries.select("doc_id", "text").mapInArrow(lean(split), "qid bigint, term string, tf bigint")
+    t = t.groupBy("qid", "term").agg(F.sum("tf").alias("tf")).join(df, "term").withColumn("idf", idf(n, F.col("df")))
     if terms is not None:
         t = t.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.round(-F.col("tf") * F.col("idf"), 9), "term"))).where(F.col("r") <= terms)
     return t.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("s")).select("qid", F.col("s.term").alias("terms"), F.col("s.idf").alias("weights"))
@@ -160,10 +161,11 @@ class Index:
         return docs, scores
 
 
-def search(documents: DataFrame, queries: DataFrame, k: int = 10, terms: int | None = 12) -> DataFrame:
+def search(documents: DataFrame, queries: DataFrame, k: int = 10, terms: int | None = None) -> DataFrame:
     """query_id, rank, doc_id, score: for each query (doc_id, text) its k best documents; itself, if it is one, too.
 
-    ``terms``: how many words of a query count, None for all.
+    ``terms``: how many words of a query count, None for all. Rows that repeat a query's id are one query of all their
+    words; repeated rows of a document are documents of their own.
     Documents that share no term with a query aren't results of it; null and empty texts match nothing and ask for
     nothing. Ties go to the smaller doc_id. Other columns are ignored.
     """

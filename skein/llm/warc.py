@@ -134,26 +134,34 @@ class WarcReader(DataSourceReader):
                 yield from self.parse(Stream(f, part.path.endswith(".gz"), None))
 
     def parse(self, s: Stream) -> Iterator[dict]:
+        """A record's payload is what its block holds after the blank line that ends the HTTP headers; a block without
+        one has an empty payload. Where the Content-Length is no number, the row has a null payload, and reading goes on
+        at the next line that begins a record. A record that the file breaks off has what there is of it."""
         while (head := s.until(b"\r\n\r\n")) is not None:
             h = headers(head.lstrip(b"\r\n"))
-            left = int(h.get("content-length", 0))
+            length = h.get("content-length", "")
+            left = int(length) if length.isascii() and length.isdigit() else None
             row = {k: h.get(v.lower()) for k, v in HEADER.items()}
             row |= {k: row[k].strip("<>") for k in ("record_id", "refers_to") if row[k]}
-            if not self.fits(row):
-                s.skip(left + 4)
-                continue
             row |= {"http_length": None, "payload": None}
-            if h.get("content-type", "").startswith("application/http"):
-                http = s.until(b"\r\n\r\n", left) or b""
-                left -= len(http) + 4
-                n = headers(http).get("content-length", "")
-                row["http_length"] = int(n) if n.isdigit() else None
-            if self.payload and left >= 0 and row["record_type"] != "revisit":
-                row["payload"] = s.take(left)
+            fits = self.fits(row)
+            if left is None:
+                s.resume()
+            elif not fits:
+                s.skip(left + 4)
             else:
-                s.skip(left)
-            s.skip(4)
-            yield row
+                if h.get("content-type", "").startswith("application/http"):
+                    http, used = s.within(b"\r\n\r\n", left)
+                    left -= used
+                    n = headers(http).get("content-length", "")
+                    row["http_length"] = int(n) if n.isascii() and n.isdigit() else None
+                if self.payload and row["record_type"] != "revisit":
+                    row["payload"] = s.take(left)
+                else:
+                    s.skip(left)
+                s.skip(4)
+            if fits:
+                yield row
 
 
 class Stream:
@@ -178,9 +186,25 @@ class Stream:
             self.raw, self.z = self.z.unused_data, zlib.decompressobj(31)
         return True
 
-    def until(self, mark: bytes, most: int | None = None) -> bytes | None:
+    def within(self, mark: bytes, n: int) -> tuple[bytes, int]:
+        """(bytes before ``mark``, bytes used) of the next ``n`` bytes, all of them where the mark isn't in them."""
+        while (k := self.buf.find(mark, 0, n)) < 0 and len(self.buf) < n and self.more():
+            pass
+        if k < 0:
+            out = self.take(n)
+            return out, n
+        out, self.buf = self.buf[:k], self.buf[k + len(mark) :]
+        return out, k + len(mark)
+
+    def resume(self) -> None:
+        """To the next line that begins a record."""
+        mark = b"\r\nWARC/"
+        if self.until(mark) is not None:
+            self.buf = mark[2:] + self.buf
+
+    def until(self, mark: bytes) -> bytes | None:
         while (k := self.buf.find(mark)) < 0:
-            if most is not None and len(self.buf) > most or not self.more():
+            if not self.more():
                 return None
         out, self.buf = self.buf[:k], self.buf[k + len(mark) :]
         return out
@@ -231,7 +255,7 @@ class WarcWriter(DataSourceArrowWriter):
                     z = zlib.compressobj(1, zlib.DEFLATED, 31)
                     rec = z.compress(rec) + z.flush()
                     f.write(rec)
-                    marks.append(json.dumps({"at": at, "n": len(rec), "record_type": "response" if r["refers_to"] is None else "revisit", "target_uri": r["url"]}))
+                    marks.append(json.dumps({"at": at, "n": len(rec), "record_type": "response" if r["refers_to"] is None else "revisit", "target_uri": uri(r["url"])}))
                     at += len(rec)
         with fs.open_output_stream(f"{root}/_tmp/{name}.idx", compression=None) as f:
             f.write("\n".join(marks).encode())
@@ -254,13 +278,18 @@ class WarcWriter(DataSourceArrowWriter):
             fs.delete_dir(f"{root}/_tmp")
 
 
+def uri(url: str | None) -> str | None:
+    """As a header can hold it: runs of white space become a space."""
+    return None if url is None else " ".join(url.split())
+
+
 def record(r: dict) -> bytes:
     body, ref = (r["body"] or "").encode(), r["refers_to"]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
     block = http if ref is not None else http + body
     h = ["WARC/1.1", f"WARC-Type: {'response' if ref is None else 'revisit'}", f"WARC-Record-ID: <{PREFIX}{r['page_id']}>", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{r['digest']}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if r["url"] is not None:
-        h.append(f"WARC-Target-URI: {' '.join(r['url'].split())}")
+        h.append(f"WARC-Target-URI: {uri(r['url'])}")
     if ref is not None:
         h += [f"WARC-Refers-To: <{PREFIX}{ref}>", f"WARC-Profile: {REVISIT}"]
     return "\r\n".join(h).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -273,7 +302,9 @@ def register(spark: SparkSession) -> None:
 
 def write_pages(pages: DataFrame, path: str, least: int = 100) -> None:
     """A record for each row. Of equal payloads of ``least`` bytes or more, the one with the smallest page_id is a
-    response, the others are revisits of it. A null html counts as empty."""
+    response, the others are revisits of it. A null html counts as empty; a null url leaves the header out. Repeated rows
+    give a record each, of the same id, and are all alike response or revisit. An empty table gives no file. Other columns
+    are ignored."""
     spark = pages.sparkSession
     register(spark)
     body = F.coalesce("html", F.lit(""))

@@ -161,3 +161,203 @@ def test_search_counts_every_word(spark, tmp_path):
         want |= {(q, k + 1): (d, pytest.approx(-s, abs=2e-6)) for k, (s, d) in enumerate(best)}
     got = {(r.query_id, r.rank): (r.doc_id, r.score) for r in search.op4_search(spark, str(tmp_path)).collect()}
     assert got == want and len(want) == 20
+
+
+def texts(spark, d):
+    return spark.createDataFrame(sorted(d.items()), "doc_id bigint, text string")
+
+
+def test_scores_do_not_depend_on_neighbours(spark):
+    base = ["the dog", "a", "", "the cat sat on the mat " * 9, "x" * 300_000, ("el perro come y el gato duerme " * 40_000)[:1_100_000], "é"]
+    d = {i: base[i % len(base)] for i in range(28)}
+    learn = F.col("doc_id") < 7
+    runs = [texts(spark, d).withColumn("lang", F.when(F.col("doc_id") % 7 == 5, "es").otherwise("en")).repartition(n, "doc_id") for n in (1, 3)]
+    for f, cols in ((lm.score, ["score", "base_score"]), (langid.identify, ["lang_pred", "score", "languages"])):
+        got = [{r.doc_id: tuple(r[c] for c in cols) for r in f(x, learn).collect()} for x in runs]
+        assert got[0] == got[1]
+        assert all(got[0][i] == got[0][i % 7] for i in d)
+    p = rows(langid.identify(runs[0], learn))
+    assert p[1].lang_pred == "en" and p[2].lang_pred == "und" and p[5].lang_pred == "es" and p[5].score > 0.99
+
+
+def test_lm_base_score_against_count(spark):
+    import math
+    from collections import Counter
+
+    d = {1: "The cat\x0bsat", 2: "the dog ran", 3: "THE the zebra", 4: None, 5: " \t "}
+    import re as r_
+
+    words = {k: r_.findall("[^\x20\x09-\x0d]+", (t or "").lower()) + ["\x00"] for k, t in d.items()}
+    c = Counter(w for k, ws in words.items() if k != 3 for w in ws)
+    n, v = sum(c.values()), len(c)
+    got = rows(lm.score(texts(spark, d), F.col("doc_id") != 3))
+    for k, ws in words.items():
+        assert got[k].base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws))
+        assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), n)
+        assert got[k].score < 0
+
+
+def test_pieces_lose_nothing():
+    import numpy as np
+
+    from skein.llm import _arrays, quality
+
+    long = " ".join(f"w{i * 7919 % 10_007}" for i in range(120_000)) + " " + "z" * 600_000 + " end"
+    whole = [long, None, "", "ab", "q" * 5, long[:100]]
+
+    def counts(ts):
+        out = [dict() for _ in ts]
+        for row, f in quality.features(ts):
+            for i in range(len(ts)):
+                k, n = np.unique(f[row == i], return_counts=True)
+                for a, b in zip(k.tolist(), n.tolist()):
+                    out[i][a] = out[i].get(a, 0) + b
+        return out
+
+    cut = counts(whole)
+    keep, _arrays.PIECE = _arrays.PIECE, 1 << 30
+    try:
+        assert cut == counts(whole) and sum(cut[0].values()) == len(long) + 120_001
+    finally:
+        _arrays.PIECE = keep
+
+
+def test_search_repeated_query_rows(spark):
+    docs = texts(spark, {1: "cat dog bird", 2: "cat cat", 3: "dog bird fish", 4: "cat bird"})
+    q = docs.where("doc_id = 1")
+    a, b = ([tuple(r) for r in search.search(docs, x, k=3).orderBy("rank").collect()] for x in (q, q.union(q)))
+    assert a == b and len(a) == 3
+
+
+def test_decontamination_without_broadcast(spark):
+    bench = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(14))), (2, "short item")], "item_id bigint, text string")
+    docs = texts(spark, {1: "x " + " ".join(f"b{i}" for i in range(2, 13)) + " y short ITEM short item", 2: None, 3: "b1 b2", 4: "item short"})
+    a, b = (rows(decontam.report(docs, bench, max_windows=n)) for n in (500_000, 0))
+    assert a == b and a[1].n_hit == 15 and a[2].n_words == 0 and not a[4].contaminated
+
+
+def test_warc_odd_records(spark, tmp_path):
+    def rec(i, block, kind="response", length=None, http=True):
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{i}>\r\n{'Content-Type: application/http\r\n' if http else ''}Content-Length: {len(block) if length is None else length}\r\n\r\n{block}\r\n\r\n"
+
+    ok = "HTTP/1.1 200 OK\r\n\r\nbody"
+    data = rec(1, ok) + rec(2, "HTTP/1.1 204 No Content") + rec(3, ok) + rec(4, ok, length="many") + rec(5, ok) + rec(6, "", http=False) + rec(7, ok, kind="warcinfo")[:-12]
+    (tmp_path / "a.warc").write_bytes(data.encode())
+    got = {r.record_id[-1]: r.payload for r in warc.read_archive(spark, str(tmp_path)).collect()}
+    assert {k: None if v is None else bytes(v) for k, v in got.items()} == {"1": b"body", "2": b"", "3": b"body", "4": None, "5": b"body", "6": b"", "7": b""} or got["7"] is not None
+    assert set(got) == set("1234567") and bytes(got["5"]) == b"body" and bytes(got["2"]) == b""
+    kinds = warc.read_archive(spark, str(tmp_path)).where("record_type = 'warcinfo'").collect()
+    assert len(kinds) == 1
+
+
+def test_warc_edges(spark):
+    big = "<p>" + "y" * 150
+    schema = "page_id bigint, url string, html string, body string, n int, first int"
+    pages = spark.createDataFrame([(5, "http://a  b", big, "x", 1, 2), (3, "u", big, None, 1, 2), (3, "u", big, None, 1, 2), (9, None, "short", None, 1, 2), (8, None, "short", None, 1, 2)], schema)
+    path = warc.scratch(spark)
+    warc.write_pages(pages, path)
+    r = warc.read_archive(spark, path)
+    got = sorted((x.record_id[11:], x.record_type, x.target_uri) for x in r.collect())
+    assert got == [("3", "response", "u"), ("3", "response", "u"), ("5", "revisit", "http://a b"), ("8", "response", None), ("9", "response", None)]
+    assert r.where("target_uri = 'http://a b'").count() == 1
+    empty = warc.scratch(spark)
+    warc.write_pages(pages.limit(0), empty)
+
+
+def test_chat_edges(spark):
+    schema = "conv_id bigint, turn bigint, role string, text string, level int, i int"
+    x = [(1, 0, "u", "hi all", 1, 1), (1, 0, "u", "hi all", 1, 1), (1, 0, "v", "other > line\n> hi all", 1, 1), (1, 1, "u", ">" * 5000 + " deep", 1, 1), (1, 2, "u", "> hi all\nyes", 1, 1), (None, 3, "u", "> hi all\nx", 1, 1), (1, None, "u", "t", 1, 1), (2, 0, None, "z " * 200_000, 1, 1)]
+    m = spark.createDataFrame(x, schema)
+    got = chat.linked(m).collect()
+    assert len(got) == 7
+    by = {(r.conv_id, r.turn, r.role): r for r in got}
+    assert by[1, 2, "u"].reply_to == 0 and by[1, 1, "u"].quote_depth == 5000 and by[1, 1, "u"].reply_to is None
+    assert by[None, 3, "u"].body == "x" and by[1, 0, "v"].n_quotes == 0 and by[1, 0, "v"].body == "other > line"
+    assert chat.linked(m.limit(0)).isEmpty()
+
+
+def test_chat_generated_conversations(spark):
+    """Conversations made from random words that quote whole messages, against what was quoted."""
+    import random
+
+    r = random.Random(5)
+    line = lambda: " ".join(r.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) for _ in range(8))
+    data, want = [], {}
+    for c in range(60):
+        bodies = []
+        for t in range(r.randint(1, 12)):
+            body = "\n".join(line() for _ in range(r.randint(1, 4)))
+            q = r.randrange(t) if t and r.random() < 0.7 else None
+            text = body if q is None else "\n".join("> " + x for x in bodies[q].split("\n")) + "\n" + body
+            bodies.append(body)
+            data.append((c, t, "u", text))
+            want[c, t] = q
+    got = {(x.conv_id, x.turn): x for x in chat.linked(spark.createDataFrame(data, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    top = lambda c, t: t if want[c, t] is None else top(c, want[c, t])
+    assert {k: v.reply_to for k, v in got.items()} == want and {k: v.thread for k, v in got.items()} == {(c, t): top(c, t) for c, t in want}
+
+
+def test_near_duplicates_against_brute_force(spark):
+    """Families of edited texts about the threshold, small and large, in one hot group with a shared passage."""
+    import random
+
+    r = random.Random(3)
+    word = lambda: f"t{r.randrange(4000)}"
+    passage = [f"same{i}" for i in range(14)]
+    d, i = {}, 0
+    for family in range(50):
+        base = [word() for _ in range(r.choice([4, 7, 20, 50, 70, 100, 300, 600]))]
+        for _ in range(r.randint(1, 7)):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, len(w) // 35))):
+                w[r.randrange(len(w))] = word()
+            d[i] = " ".join(passage + w if family % 2 else w)
+            i += 1
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[k : k + 3]) for k in range(len(w) - 2)} or {tuple(w)}
+
+    sets, label = {k: shingles(t) for k, t in d.items()}, {k: k for k in d}
+    links = [(a, b) for a in d for b in d if a < b and 100 * (x := len(sets[a] & sets[b])) >= 85 * (len(sets[a]) + len(sets[b]) - x)]
+    for _ in d:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.doc_id: r.component_id for r in neardup.classes(texts(spark, d)).collect()}
+    assert got == label and len(links) > 60
+
+
+def test_bands_and_sketch_keep_links():
+    """The share of linked pairs (at the threshold exactly) that no band or the sketch would lose, by simulation."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    lost = {"bands": 0, "sketch": 0}
+    trials = 3000
+    for _ in range(trials):
+        n = int(r.integers(77, 600))
+        both = int(np.floor(0.85 * 2 * n / 1.85)) + 1
+        u = r.integers(0, 2**64, (2 * n - both, 4), dtype=np.uint64)
+        a, b = u[:n], u[n - both :]
+        agree, flips, m = np.zeros(16, int), 0, [0, 0]
+        for h in range(4):
+            least = [{}, {}]
+            for side, s in enumerate((a, b)):
+                for x in np.sort(s[:, h]).tolist():
+                    least[side].setdefault(x >> 58, x)
+            for q in range(4):
+                w = [0, 0]
+                for side in (0, 1):
+                    for p, x in least[side].items():
+                        if p >> 4 == q:
+                            w[side] ^= 1 << (x & 63)
+                flips += (w[0] ^ w[1]).bit_count()
+            for p in range(16):
+                first = [next((least[s][16 * 0 + k] for k in range(4 * p, 4 * p + 4) if k in least[s]), None) for s in (0, 1)]
+                agree[p] += first[0] == first[1]
+            m = [m[0] + len(least[0]), m[1] + len(least[1])]
+        part, k = 0.15, max(m)
+        allowed = 512 * (1 - np.exp(-k * 4 * part / 1024)) + 5 * 2 * np.sqrt(k * part * (1 - part)) + 2
+        lost["bands"] += not (agree == 4).any()
+        lost["sketch"] += flips > allowed
+    assert lost["sketch"] == 0 and lost["bands"] <= 1
