@@ -1 +1 @@
-
+"""Column functions: JSON-encoded property values, and templates compiled to columns."""

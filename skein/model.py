@@ -27,16 +27,22 @@ class Graph:
         return self if cond is None else replace(self, edges=self.edges.where(cond))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder: cuts the lineage of loops and survives lost executors."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only a local session that has none is given a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="skein-graph-"))
         root = spark.sparkContext.getCheckpointDir()
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder: cuts the lineage of loops and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def uuid5(namespace: str, name: Column) -> Column:

@@ -61,7 +61,7 @@ def epoch_ms(value: Column) -> Column:
     """Milliseconds of a JSON-encoded property: an integer as it is, a float truncated, a string only in RFC 3339."""
     s = F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")
     stamp = F.when(value.startswith('"') & s.rlike(RFC3339), F.unix_millis(F.try_to_timestamp(s)))
-    return F.coalesce(stamp, F.when(value.rlike(r"^-?\d+$"), value.try_cast("bigint")), F.when(value.rlike(r"^-?[\d.]+([eE][+-]?\d+)?$"), F.floor(value.try_cast("double"))))
+    return F.coalesce(stamp, F.when(value.rlike(r"^-?\d+$"), value.try_cast("bigint")), F.when(value.rlike(r"^-?[\d.]+([eE][+-]?\d+)?$"), value.try_cast("double").try_cast("bigint")))
 
 
 def temporal_proximity(g: Graph, prop: str = "created_at", threshold_ms: int = 86_400_000, out: str = "temporal_proximity", node_types: Sequence[str] | None = ("fragment",)) -> DataFrame:
@@ -143,6 +143,56 @@ def lens(g: Graph, consumer: str, rules: Sequence[Translation]) -> DataFrame:
     return m.select("source", "target", "relationship", s.alias("source_dimension"), s.alias("target_dimension"), "contributions", "raw_weight", F.create_map().cast("map<string,string>").alias("properties"), F.xxhash64("source", "target").alias("seq"))
 
 
+@dataclass(frozen=True)
+class Enrichment:
+    """A rule with an id: edges to add to a snapshot. It runs if an event of ``triggers`` happened in the round before
+    (any event, if empty)."""
+
+    id: str
+    run: Callable[[Graph], DataFrame | None]
+    triggers: tuple[str, ...] = ()
+
+
+def co_occurrence(source: str = "tagged_with", out: str = "may_be_related") -> Enrichment:
+    return Enrichment(f"co_occurrence:{source}:{out}", lambda g: cooccurrence(g, source, out), ("NodesAdded", "EdgesAdded"))
+
+
+def gap(trigger: str = "similar_to", out: str = "discovery_gap") -> Enrichment:
+    return Enrichment(f"discovery_gap:{trigger}:{out}", lambda g: discovery_gap(g, trigger, out), ("EdgesAdded",))
+
+
+def temporal(prop: str = "created_at", threshold_ms: int = 86_400_000, out: str = "temporal_proximity", node_types: Sequence[str] | None = None) -> Enrichment:
+    name = f"temporal:{prop}:{threshold_ms}:{out}" + (":" + "+".join(node_types) if node_types else "")
+    return Enrichment(name, lambda g: temporal_proximity(g, prop, threshold_ms, out, node_types), ("NodesAdded",))
+
+
+def default_enrichments() -> list[Enrichment]:
+    """Those of the default pipeline, in its order."""
+    return [co_occurrence(), gap(), temporal(node_types=("fragment",))]
+
+
+def run_rounds(g: Graph, enrichments: Sequence[Enrichment], events: set[str] | None = None, max_rounds: int = 10) -> tuple[Graph, list[tuple[str, write.Result]]]:
+    """(graph, commits): rounds until nothing is added. In a round, the enrichments that the events of the round before
+    trigger (``events`` at first, None: all) see the same snapshot, then commit in order. Enrichments are taken once by
+    id. Each commit's edges are tables, so later rounds don't compute them again."""
+    unique = list({e.id: e for e in reversed(enrichments)}.values())[::-1]
+    commits: list[tuple[str, write.Result]] = []
+    for _ in range(max_rounds):
+        due = [e for e in unique if events is None or not e.triggers or events & set(e.triggers)]
+        added = [(e.id, t) for e in due if (x := e.run(g)) is not None and not (t := saved(x)).isEmpty()]
+        if not added:
+            break
+        events = {"EdgesAdded"}
+        for name, t in added:
+            done = write.apply(g, write.Emission(edges=t), name)
+            done.changed = {k: saved(d) for k, d in done.changed.items()}
+            if not done.changed["WeightsChanged"].isEmpty():
+                events.add("WeightsChanged")
+            g = Graph(g.nodes, saved(done.graph.edges))
+            commits.append((name, done))
+    return g, commits
+
+
 def run_loop(g: Graph, enrichments: dict[str, Callable[[Graph], DataFrame]], max_rounds: int = 10) -> tuple[Graph, int]:
     """Rounds until nothing is added: all enrichments see the same snapshot, then commit in order. Returns the rounds."""
     for k in range(max_rounds):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import string_of, text_of
 from ..model import KEY, Graph, saved
 from .filters import EdgeFilter, adjacency, edge_cond, every
 
@@ -20,16 +21,36 @@ def _small(ids: DataFrame) -> tuple[DataFrame, int]:
     return (F.broadcast(ids) if n <= MAX_BROADCAST_IDS else ids), n
 
 
-def find(g: Graph, node_type=None, content_type=None, dimension=None, has_property=None, property_equals: tuple[str, str] | None = None, edge_filter: EdgeFilter | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """Nodes that meet all predicates, by id, with ``total_count`` before paging. ``property_equals``: key and JSON value."""
-    c = every([F.col(k) == v for k, v in (("node_type", node_type), ("content_type", content_type), ("dimension", dimension)) if v is not None] + [None if has_property is None else F.map_contains_key("properties", has_property), None if property_equals is None else F.col("properties")[property_equals[0]] == property_equals[1]])
-    n = g.nodes if c is None else g.nodes.where(c)
+def find(
+    g: Graph,
+    node_type: str | None = None,
+    content_type: str | None = None,
+    dimension: str | None = None,
+    has_property: str | None = None,
+    property_equals: tuple[str, str] | None = None,
+    edge_filter: EdgeFilter | None = None,
+    offset: int = 0,
+    limit: int | None = None,
+    total: bool = False,
+) -> DataFrame:
+    """Nodes that meet all predicates. ``property_equals``: key and JSON value.
+
+    Sorted by id where a page is asked for (``offset``, ``limit``). With ``total``, each row has ``total_count``, the
+    number before paging, which costs a count.
+    """
+    c = [F.col(k) == v for k, v in (("node_type", node_type), ("content_type", content_type), ("dimension", dimension)) if v is not None]
+    if has_property is not None:
+        c.append(F.map_contains_key("properties", has_property))
+    if property_equals is not None:
+        c.append(F.col("properties")[property_equals[0]] == property_equals[1])
+    n = g.nodes if (cond := every(c)) is None else g.nodes.where(cond)
     if edge_filter is not None:
         e = g.where_edges(edge_filter.column()).edges
-        n = n.join(e.select(F.col("source").alias("id")).union(e.select("target")), "id", "left_semi")
-    total = n.count()
-    n = n.withColumn("total_count", F.lit(total).cast("long")).orderBy("id")
-    n = n.offset(offset) if offset else n
+        n = n.join(e.select(F.explode(F.array("source", "target")).alias("id")), "id", "left_semi")
+    if total:
+        n = n.withColumn("total_count", F.lit(n.count()).cast("long"))
+    if offset or limit is not None:
+        n = n.orderBy("id").offset(offset)
     return n if limit is None else n.limit(limit)
 
 
@@ -39,7 +60,7 @@ def traverse(g: Graph, origin: str, depth: int = 1, direction: str = "outgoing",
     Edges are filtered once, before the loop, which carries ids only. An origin that isn't a node gives nothing.
     """
     e = g.where_edges(edge_cond(relationship, min_weight, edge_filter)).edges
-    adj = adjacency(e, direction)
+    adj = adjacency(saved(e) if depth > 1 else e, direction)
     seen = saved(g.nodes.where(F.col("id") == origin).select("id", F.lit(0).alias("level")).distinct())
     met, frontier = None, seen.select("id")
     for level in range(1, depth + 1):
@@ -64,7 +85,8 @@ def shortest_path(g: Graph, source: str, target: str, max_length: int = 10, dire
         return None
     if source == target:
         return [{"id": source, "via": None}]
-    adj = adjacency(g.where_edges(edge_cond(relationship, None, edge_filter)).edges, direction)
+    e = g.where_edges(edge_cond(relationship, None, edge_filter)).edges
+    adj = saved(adjacency(e.select("source", "target", "relationship", "seq"), direction))
     seen = saved(spark.createDataFrame([(source,)], "id string"))
     frontier, levels = seen, []
     for _ in range(max_length):
@@ -115,12 +137,16 @@ def evidence(g: Graph, concept: str, edge_filter: EdgeFilter | None = None) -> t
 
 def explain(g: Graph, a: str, b: str, relationship: str | None = None) -> DataFrame:
     """Every edge between two nodes, either way: relationship, direction, raw_weight, contributions, corroboration,
-    translated_from. Raises where an end is missing."""
-    if g.nodes.where(F.col("id").isin(a, b)).select("id").distinct().count() < len({a, b}):
-        raise KeyError(f"no such node: {a} or {b}")
+    translated_from, and the texts of both ends (their property text, else label, if a string). Raises where an end is
+    missing."""
+    text = {r.id: r.t for r in g.nodes.where(F.col("id").isin(a, b)).select("id", F.coalesce(string_of("text"), string_of("label")).alias("t")).collect()}
+    if missing := sorted({a, b} - text.keys()):
+        raise KeyError(f"no such node: {missing[0]}")
     s, t = F.col("source"), F.col("target")
     e = g.where_edges(edge_cond(relationship)).edges.where(((s == a) & (t == b)) | ((s == b) & (t == a)))
-    return e.select("relationship", F.when(s == a, "forward").otherwise("reverse").alias("direction"), "raw_weight", "contributions", F.size("contributions").cast("long").alias("corroboration"), translated_from().alias("translated_from"))
+    ends = [F.lit(text[x]).cast("string").alias(n) for x, n in ((a, "source_text"), (b, "target_text"))]
+    forward = F.when(s == a, "forward").otherwise("reverse")
+    return e.select("relationship", forward.alias("direction"), "raw_weight", "contributions", F.size("contributions").cast("long").alias("corroboration"), translated_from().alias("translated_from"), *ends)
 
 
 def translated_from() -> Column:
@@ -187,10 +213,6 @@ def _prov(g: Graph, kind: str) -> DataFrame:
     return g.nodes.where((F.col("node_type") == kind) & (F.col("dimension") == "provenance"))
 
 
-def text_of(key: str) -> Column:
-    return F.get_json_object(F.concat(F.lit('{"v":'), F.col("properties")[key], F.lit("}")), "$.v")
-
-
 def tags_of() -> Column:
     return F.from_json(F.coalesce(F.col("properties")["tags"], F.lit("[]")), "array<string>")
 
@@ -230,4 +252,33 @@ def list_tags(g: Graph) -> DataFrame:
 
 def export(g: Graph) -> tuple[DataFrame, DataFrame]:
     """Frames of the JSON export for external analysis."""
-    return g.nodes.select("id", F.col("node_type").alias("type"), "dimension", F.coalesce(text_of("label"), F.lit("")).alias("label")), g.edges.select("source", "target", "relationship", F.col("raw_weight").alias("weight"))
+    nodes = g.nodes.select("id", F.col("node_type").alias("type"), "dimension", F.coalesce(text_of("label"), F.lit("")).alias("label"))
+    return nodes, g.edges.select("source", "target", "relationship", F.col("raw_weight").alias("weight"))
+
+
+def write_export(g: Graph, path: str) -> dict[str, int]:
+    """The export as JSON lines below ``path``: nodes, edges, and a line with their counts, which are returned."""
+    nodes, edges = export(g)
+    nodes.write.json(f"{path}/nodes")
+    edges.write.json(f"{path}/edges")
+    spark = g.nodes.sparkSession
+    counts = {"node_count": spark.read.text(f"{path}/nodes").count(), "edge_count": spark.read.text(f"{path}/edges").count()}
+    spark.createDataFrame([counts], "node_count bigint, edge_count bigint").coalesce(1).write.json(f"{path}/counts")
+    return counts
+
+
+# -- parts of a result -------------------------------------------------------------------------------------------------
+def at_depth(levels: DataFrame, depth: int) -> DataFrame:
+    return levels.where(F.col("level") == depth).select("id")
+
+
+at_step = at_depth
+
+
+def all_nodes(levels: DataFrame) -> DataFrame:
+    """Everything reached, without the origin."""
+    return levels.where("level > 0").select("id").distinct()
+
+
+def max_depth(levels: DataFrame) -> int:
+    return levels.agg(F.max("level")).first()[0] or 0

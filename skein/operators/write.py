@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..model import KEY, Graph
+from ..model import KEY, Graph, edge_id
 
 
 @dataclass
@@ -29,11 +29,58 @@ class Emission:
         return all(x is None or x.isEmpty() for x in vars(self).values())
 
 
+#: Ids of a row of the event log; an event with more has several parts with one sequence number.
+EVENT_IDS = 10_000
+EVENT = "sequence bigint, part int, context_id string, event_type string, node_ids array<string>, edge_ids array<string>, adapter_id string, reason string, created_at timestamp"
+#: Kinds of change in the order of their events: event type, ids of nodes (else of edges), reason.
+CHANGES = {
+    "NodesAdded": ("NodesAdded", True, None),
+    "EdgesAdded": ("EdgesAdded", False, None),
+    "NodesRemoved": ("NodesRemoved", True, None),
+    "EdgesRemoved": ("EdgesRemoved", False, "explicit"),
+    "EdgesCascaded": ("EdgesRemoved", False, "cascade"),
+    "WeightsChanged": ("WeightsChanged", False, None),
+    "ContributionsRetracted": ("ContributionsRetracted", False, "retraction"),
+    "EdgesPruned": ("EdgesRemoved", False, "retraction"),
+}
+
+
 @dataclass
 class Result:
+    """What an emission did. ``changed`` has the ids of nodes or keys of edges by kind of change; ``rejected`` the edges
+    that weren't accepted, with a reason; ``provenance`` a row for each item that carried an annotation."""
+
     graph: Graph
     rejected: DataFrame | None = None
     changed: dict[str, DataFrame] = field(default_factory=dict)
+    provenance: DataFrame | None = None
+
+    def counts(self) -> dict[str, int]:
+        n = {k: d.count() for k, d in self.changed.items()}
+        return n | {"rejected": 0 if self.rejected is None else self.rejected.count()}
+
+    def is_noop(self) -> bool:
+        return all(d.isEmpty() for d in self.changed.values())
+
+    def is_fully_committed(self) -> bool:
+        return self.rejected is None or self.rejected.isEmpty()
+
+    def events(self, adapter: str, context: str = "", after: int = 0) -> DataFrame | None:
+        """Rows of EVENT for the changes that aren't empty, numbered from ``after`` + 1 in the order of CHANGES."""
+        out, n = None, after
+        for kind, (event, nodes, reason) in CHANGES.items():
+            d = self.changed.get(kind)
+            size = 0 if d is None else d.count()
+            if not size:
+                continue
+            n += 1
+            ids = d.select((F.col("id") if nodes else edge_id(context)).alias("id"))
+            part = F.pmod(F.xxhash64("id"), F.lit(-(-size // EVENT_IDS))).cast("int").alias("part")
+            e = ids.groupBy(part).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+            none = F.array().cast("array<string>")
+            e = e.select(F.lit(n).cast("bigint").alias("sequence"), "part", F.lit(context).alias("context_id"), F.lit(event).alias("event_type"), (F.col("ids") if nodes else none).alias("node_ids"), (none if nodes else F.col("ids")).alias("edge_ids"), F.lit(adapter).alias("adapter_id"), F.lit(reason).cast("string").alias("reason"), F.current_timestamp().alias("created_at"))
+            out = e if out is None else out.unionByName(e)
+        return out
 
 
 def last_wins(a: Column, b: Column) -> Column:
@@ -42,10 +89,17 @@ def last_wins(a: Column, b: Column) -> Column:
     return F.map_concat(keep, b)
 
 
+def last_rows(new: DataFrame, key: str = "id") -> DataFrame:
+    """One row for each key: that with the greatest ``ord``; without one, any of equal ones and else the greatest."""
+    rest = [c for c in new.columns if c not in (key, "ord")]
+    text = F.to_json(F.struct(*rest))
+    order = F.struct("ord", text) if "ord" in new.columns else F.struct(text)
+    return new.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("v")).select(key, "v.*")
+
+
 def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
     """Full replacement by id; of several new rows of an id, that with the greatest ``ord`` (if any) wins."""
-    if "ord" in new.columns:
-        new = new.groupBy("id").agg(F.max_by(F.struct(*[c for c in new.columns if c not in ("id", "ord")]), "ord").alias("v")).select("id", "v.*")
+    new = last_rows(new)
     return nodes.join(new.select("id"), "id", "left_anti").unionByName(new.select(nodes.columns))
 
 
@@ -81,26 +135,48 @@ def merge_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     return out.withColumn("properties", F.when(F.col("_v") > 1, last_wins(F.col("properties"), cross)).otherwise(F.col("properties"))).drop("_v")
 
 
+#: Contributors whose maxima are put into the plan; more are joined.
+MAX_CONTRIBUTORS = 1_000
+
+
 def recompute_weights(edges: DataFrame) -> DataFrame:
     """raw_weight = sum of each contribution over the greatest absolute one of its contributor in the graph.
 
-    One pass over the edges for the maxima (as many rows as contributors) and one for the weights. The maxima are joined
-    as a single map row, whose size the number of contributors bounds.
+    One pass over the edges finds the maxima, a row for each contributor. Up to ``MAX_CONTRIBUTORS`` of them become
+    literals of a second pass without a join; more are joined to the single contributions.
     """
-    m = edges.select(F.explode("contributions").alias("k", "v")).groupBy("k").agg(F.max(F.abs("v")).alias("m"))
-    m = m.agg(F.map_from_entries(F.collect_list(F.struct("k", "m"))).alias("_m"))
-    part = F.transform(F.map_entries("contributions"), lambda x: F.when(F.col("_m")[x.key] == 0, F.lit(0.0)).otherwise(x.value / F.col("_m")[x.key]))
-    total = F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
-    return edges.join(F.broadcast(m), F.lit(True), "left").withColumn("raw_weight", F.when(F.size("contributions") > 0, total).otherwise(F.col("raw_weight"))).drop("_m")
+    each = edges.select(F.explode("contributions").alias("k", "v"))
+    m = each.groupBy("k").agg(F.max(F.abs("v")).alias("m"))
+    few = m.limit(MAX_CONTRIBUTORS + 1).collect()
+    if not few:
+        return edges
+    if len(few) <= MAX_CONTRIBUTORS:
+        top = F.create_map(*[x for r in few for x in (F.lit(r.k), F.lit(float(r.m)))])
+        part = F.transform(F.map_entries("contributions"), lambda x: F.when(top[x.key] == 0, F.lit(0.0)).otherwise(x.value / top[x.key]))
+        total = F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
+        return edges.withColumn("raw_weight", F.when(F.size("contributions") > 0, total).otherwise(F.col("raw_weight")))
+    share = F.when(F.col("m") == 0, F.lit(0.0)).otherwise(F.col("v") / F.col("m"))
+    sums = edges.select(*KEY, F.explode("contributions").alias("k", "v")).join(m, "k").groupBy(*KEY).agg(F.sum(share).alias("_w"))
+    return edges.join(sums, KEY, "left").withColumn("raw_weight", F.coalesce("_w", "raw_weight")).select(edges.columns)
+
+
+def fold_updates(updates: DataFrame) -> DataFrame:
+    """(id, properties): of several updates of a node, each key has the value of the row with the greatest ``ord``; on a
+    tie, or without one, the greatest value."""
+    order = F.struct("ord", "v") if "ord" in updates.columns else F.struct("v")
+    u = updates.select("id", F.explode("properties").alias("k", "v"), *(["ord"] if "ord" in updates.columns else []))
+    one = u.groupBy("id", "k").agg(F.max_by("v", order).alias("v"))
+    return one.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("properties"))
 
 
 def update_properties(nodes: DataFrame, updates: DataFrame) -> DataFrame:
-    """Per-key overlay on existing nodes; updates of missing nodes are skipped."""
-    j = nodes.join(updates.select("id", F.col("properties").alias("_p")), "id", "left")
+    """Per-key overlay on existing nodes; updates of missing nodes are skipped, those of one node folded first."""
+    j = nodes.join(fold_updates(updates).withColumnRenamed("properties", "_p"), "id", "left")
     return j.withColumn("properties", F.when(F.col("_p").isNull(), F.col("properties")).otherwise(last_wins(F.coalesce("properties", F.create_map().cast("map<string,string>")), F.col("_p")))).drop("_p").select(nodes.columns)
 
 
 def remove_edges(edges: DataFrame, removals: DataFrame) -> DataFrame:
+    """Without all edges of the (source, target, relationship), in any dimensions."""
     return edges.join(removals, ["source", "target", "relationship"], "left_anti").select(edges.columns)
 
 
@@ -126,31 +202,46 @@ def retract(g: Graph, adapter: str) -> tuple[Graph, DataFrame]:
     return Graph(g.nodes, recompute_weights(e.where(~gone).drop("_had"))), counts
 
 
+def retracted(g: Graph, adapter: str) -> Result:
+    """``retract`` with what changed, for the event log."""
+    had = g.edges.where(F.map_contains_key("contributions", F.lit(adapter)))
+    out = Result(retract(g, adapter)[0])
+    out.changed = {"ContributionsRetracted": had.select(*KEY), "EdgesPruned": had.where(F.size("contributions") == 1).select(*KEY)}
+    return out
+
+
 def apply(g: Graph, e: Emission, adapter: str) -> Result:
     """Upsert nodes, merge checked edges, recompute weights if any came, update properties, remove edges, then nodes.
 
-    Weights aren't recomputed after removals. A missing part of the emission changes nothing.
+    Weights aren't recomputed after removals. A missing part of the emission changes nothing. Updated nodes are reported
+    with the added ones, edges that go with their nodes as cascaded.
     """
     nodes, edges, out = g.nodes, g.edges, Result(g)
+    added = None
     if e.nodes is not None:
         nodes = upsert_nodes(nodes, e.nodes)
-        out.changed["NodesAdded"] = e.nodes.select("id").distinct()
+        added = e.nodes.select("id").distinct()
     if e.edges is not None:
         ok, out.rejected = check_ends(assign_contribution(e.edges, adapter), nodes)
         out.changed["EdgesAdded"] = ok.select(*KEY).distinct()
-        out.changed["WeightsChanged"] = weights_changed(edges, ok.withColumn("raw_weight", F.coalesce(F.col("contributions")[adapter], "raw_weight")), adapter)
-        edges = recompute_weights(merge_edges(edges, ok))
+        out.changed["WeightsChanged"] = weights_changed(edges, ok.withColumn("raw_weight", F.coalesce(F.col("contributions")[adapter], "raw_weight")), adapter).distinct()
+        merged = merge_edges(edges, ok)
+        edges = merged if ok.isEmpty() else recompute_weights(merged)
     if e.updates is not None:
-        out.changed["NodesUpdated"] = e.updates.join(nodes.select("id"), "id", "left_semi").select("id")
+        updated = e.updates.select("id").distinct().join(nodes.select("id"), "id", "left_semi")
+        added = updated if added is None else added.union(updated).distinct()
         nodes = update_properties(nodes, e.updates)
+    if added is not None:
+        out.changed["NodesAdded"] = added
     g = Graph(nodes, edges)
     if e.edge_removals is not None:
         out.changed["EdgesRemoved"] = g.edges.join(e.edge_removals, ["source", "target", "relationship"], "left_semi").select(*KEY)
         g = Graph(g.nodes, remove_edges(g.edges, e.edge_removals))
     if e.removals is not None:
-        out.changed["NodesRemoved"] = g.nodes.join(e.removals, "id", "left_semi").select("id")
-        g = remove_nodes(g, e.removals)
+        gone = g.nodes.join(e.removals, "id", "left_semi").select("id")
+        out.changed["NodesRemoved"] = gone
+        kept = remove_nodes(g, gone)
+        out.changed["EdgesCascaded"] = g.edges.select(*KEY).join(kept.edges.select(*KEY), KEY, "left_anti")
+        g = kept
     out.graph = g
     return out
-
-
