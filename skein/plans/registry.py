@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..model import Graph, concept_id, fragment_id
+from ..model import Graph, concept_id, fragment_id, saved
+from ..adapters import analysis
 from ..operators import enrich, read, write
 from ..operators.filters import EdgeFilter, adjacency
 from ..sources import tables as T
@@ -44,6 +45,11 @@ def R6(c):
     return F.round(F.col(c) + 1e-9, 6)
 
 
+def _kept(g):
+    """The graph with its edges as a table, where a plan reads them more than once."""
+    return Graph(g.nodes, saved(g.edges))
+
+
 def W6():
     return R6("raw_weight").alias("weight")
 
@@ -69,7 +75,7 @@ def find_has_property(s, d):
 
 @query(C("SELECT id, (SELECT count(*) FROM N WHERE node_type = 'customer') AS total_count FROM N WHERE node_type = 'customer' ORDER BY id LIMIT 25 OFFSET 50"))
 def find_paged(s, d):
-    return read.find(T.commerce(s, d, False), node_type="customer", offset=50, limit=25).select("id", "total_count")
+    return read.find(T.commerce(s, d, False), node_type="customer", offset=50, limit=25, total=True).select("id", "total_count")
 
 
 @query(C("SELECT id FROM N WHERE id IN (SELECT source FROM E WHERE q IS NOT NULL AND r IS NOT NULL UNION SELECT target FROM E WHERE q IS NOT NULL AND r IS NOT NULL)"))
@@ -100,17 +106,17 @@ BOTH = OUT + " UNION ALL " + IN
 
 @query(C(_bfs("customer:1", 1, OUT) + " SELECT id, level FROM L", True))
 def traverse_out_d1(s, d):
-    return read.traverse(T.commerce(s, d), "customer:1", 1)[0].select("id", F.col("level").cast("int").alias("level"))
+    return read.traverse(T.commerce(s, d, False), "customer:1", 1)[0].select("id", F.col("level").cast("int").alias("level"))
 
 
 @query(C(_bfs("nation:3", 2, IN) + " SELECT id, level FROM L", True))
 def traverse_in_d2(s, d):
-    return read.traverse(T.commerce(s, d), "nation:3", 2, "incoming")[0]
+    return read.traverse(T.commerce(s, d, False), "nation:3", 2, "incoming")[0]
 
 
 @query(C(_bfs("customer:1", 2, BOTH) + " SELECT id, level FROM L", True))
 def traverse_both_d2(s, d):
-    return read.traverse(T.commerce(s, d), "customer:1", 2, "both")[0]
+    return read.traverse(T.commerce(s, d, False), "customer:1", 2, "both")[0]
 
 
 @query(C(_bfs("customer:1", 3, OUT, "w >= 0.5") + " SELECT id, level FROM L", True))
@@ -120,17 +126,17 @@ def traverse_min_weight(s, d):
 
 @query(C(_bfs("region:1", 3, IN, "relationship = 'located_in'") + " SELECT id, level FROM L", True))
 def traverse_relationship(s, d):
-    return read.traverse(T.commerce(s, d), "region:1", 3, "incoming", "located_in")[0]
+    return read.traverse(T.commerce(s, d, False), "region:1", 3, "incoming", "located_in")[0]
 
 
 @query(C(_bfs("order:1", 2, BOTH, "relationship = 'contains'") + ", X AS (SELECT id FROM L WHERE level < 2) SELECT source, target, relationship FROM E WHERE relationship = 'contains' AND (source IN (SELECT id FROM X) OR target IN (SELECT id FROM X))", True))
 def traverse_edges(s, d):
-    return read.traverse(T.commerce(s, d), "order:1", 2, "both", "contains")[1].select(EDGE3)
+    return read.traverse(T.commerce(s, d, False), "order:1", 2, "both", "contains")[1].select(EDGE3)
 
 
 @query(C(_bfs("order:1", 2, BOTH, "q IS NOT NULL AND r IS NOT NULL") + " SELECT id, level FROM L", True))
 def traverse_filtered(s, d):
-    return read.traverse(T.commerce(s, d), "order:1", 2, "both", edge_filter=EdgeFilter(min_corroboration=2))[0]
+    return read.traverse(T.commerce(s, d, False), "order:1", 2, "both", edge_filter=EdgeFilter(min_corroboration=2))[0]
 
 
 _RANK = """, X AS (SELECT id FROM L WHERE level < {depth}), R AS (SELECT * FROM E WHERE source IN (SELECT id FROM X)), S AS (SELECT id, greatest(max(v), 0) AS score FROM (SELECT source AS id, {v} AS v FROM R UNION ALL SELECT target, {v} FROM R) GROUP BY id)
@@ -242,12 +248,12 @@ def weights_maxabs(s, d):
 
 @query(C("SELECT source, target, relationship, round(CASE WHEN q IS NULL THEN 1.0 ELSE q / mq END + 1e-9, 6) AS weight FROM E, M WHERE q IS NOT NULL OR r IS NULL"))
 def retract_contributions(s, d):
-    return write.retract(T.commerce(s, d), "revenue")[0].edges.select(*EDGE3, W6())
+    return write.retract(T.commerce(s, d, False), "revenue")[0].edges.select(*EDGE3, W6())
 
 
 @query(C("SELECT count(*) FILTER (r IS NOT NULL) AS affected, count(*) FILTER (r IS NOT NULL AND q IS NULL) AS pruned FROM E"))
 def retract_counts(s, d):
-    return write.retract(T.commerce(s, d), "revenue")[1]
+    return write.retract(T.commerce(s, d, False), "revenue")[1]
 
 
 _SUPPLIED = "SELECT source, target, relationship, sd, td, CASE WHEN relationship = 'supplied_by' THEN q * 2 ELSE q END AS q, r FROM E0"
@@ -305,20 +311,20 @@ _CO = ", X AS (SELECT a.target AS s, b.target AS t, count(*) AS n FROM E a JOIN
 
 @query(G(_CO + " SELECT s AS source, t AS target, round(w + 1e-9, 6) AS weight FROM Z"))
 def cooccurrence(s, d):
-    return enrich.cooccurrence(T.tags(s, d)).select("source", "target", W6())
+    return enrich.cooccurrence(_kept(T.tags(s, d))).select("source", "target", W6())
 
 
 @query(G(_CO + " SELECT s AS source, t AS target, 'lens:shop:goes_with' AS relationship, round(w + 1e-9, 6) AS weight FROM Z WHERE w >= 0.5"))
 def lens_translate(s, d):
-    g = T.tags(s, d)
+    g = _kept(T.tags(s, d))
     g = Graph(g.nodes, enrich.cooccurrence(g))
     return enrich.lens(g, "shop", [enrich.Translation(("may_be_related",), "goes_with", 0.5)]).select(*EDGE3, W6())
 
 
 @query(G(_CO + " SELECT s AS source, t AS target, 2::BIGINT AS n FROM Z WHERE w >= 0.5"))
 def lens_corroborated(s, d):
-    g = T.tags(s, d)
-    e = enrich.cooccurrence(g)
+    g = _kept(T.tags(s, d))
+    e = saved(enrich.cooccurrence(g))
     e = e.unionByName(e.where("raw_weight >= 0.5").withColumn("relationship", F.lit("similar_to")))
     return enrich.lens(Graph(g.nodes, e), "shop", [enrich.Translation(("may_be_related", "similar_to"), "goes_with", 0.0, 2)]).select("source", "target", F.size("contributions").cast("long").alias("n"))
 
@@ -357,20 +363,47 @@ def discovery_gap(s, d):
     return enrich.discovery_gap(g).select("source", "target")
 
 
-@query()
+_LOOP = ", K AS (SELECT 'tagged_with' AS relationship, count(*) AS n FROM E UNION ALL SELECT 'may_be_related', count(*) FROM Z UNION ALL SELECT 'lens:shop:goes_with', count(*) FROM Z WHERE w >= 0.5) SELECT relationship, n, 2 AS rounds FROM K WHERE n > 0"
+
+
+@query(G(_CO + _LOOP))
 def enrichment_loop(s, d):
-    g, rounds = enrich.run_loop(T.tags(s, d), {"co": enrich.cooccurrence, "lens": lambda g: enrich.lens(g, "shop", [enrich.Translation(("may_be_related",), "goes_with", 0.5)])})
+    g, rounds = enrich.run_loop(_kept(T.tags(s, d)), {"co": enrich.cooccurrence, "lens": lambda g: enrich.lens(g, "shop", [enrich.Translation(("may_be_related",), "goes_with", 0.5)])})
     return g.edges.groupBy("relationship").agg(F.count("*").alias("n")).withColumn("rounds", F.lit(rounds))
 
 
-@query()
+def _rounds(n: int, first: str, step: str, last: str) -> str:
+    """SQL of a fixed number of rounds: R0, R1, ..."""
+    return ", R0 AS (" + first + ")" + "".join(f", R{k + 1} AS MATERIALIZED ({step.format(R=f'R{k}')})" for k in range(n)) + f" {last.format(R=f'R{n}')}"
+
+
+_BOTH_ENDS = ", A AS (SELECT DISTINCT source AS v, target AS o FROM E UNION SELECT target, source FROM E)"
+_COMPONENTS = _rounds(14, "SELECT id, id AS component FROM N", "SELECT r.id, least(r.component, coalesce(min(x.component), r.component)) AS component FROM {R} r LEFT JOIN A ON A.v = r.id LEFT JOIN {R} x ON x.id = A.o GROUP BY r.id, r.component", "SELECT id, component FROM {R}")
+_PAGERANK = ", D AS (SELECT DISTINCT source, target FROM E), G AS (SELECT source, count(*) AS deg FROM D GROUP BY source), C AS (SELECT count(*) AS n FROM N)" + _rounds(
+    20,
+    "SELECT id, 1.0::DOUBLE / n AS r FROM N, C",
+    "SELECT N.id, 0.15 / n + 0.85 * (coalesce(i, 0) + (1 - (SELECT coalesce(sum(r), 0) FROM {R} JOIN G ON G.source = {R}.id)) / n) AS r FROM N CROSS JOIN C LEFT JOIN (SELECT D.target AS id, sum(r.r / deg) AS i FROM {R} r JOIN G ON G.source = r.id JOIN D ON D.source = r.id GROUP BY D.target) x ON x.id = N.id",
+    "SELECT id, round(r * (SELECT n FROM C) + 1e-9, 5) AS pagerank FROM {R}",
+)
+_COMMUNITIES = _rounds(2, "SELECT id, id AS community FROM N", "SELECT r.id, coalesce(b.l, r.community) AS community FROM {R} r LEFT JOIN (SELECT v, arg_min(l, (-n, l)) AS l FROM (SELECT A.v, x.community AS l, count(*) AS n FROM A JOIN {R} x ON x.id = A.o WHERE A.v <> A.o GROUP BY 1, 2) GROUP BY v) b ON b.v = r.id", "SELECT id, community FROM {R}")
+
+
+@query(C(_BOTH_ENDS + _COMMUNITIES))
+def label_propagation(s, d):
+    return analysis.label_propagation(T.commerce(s, d, False), 2)
+
+
+@query(C(_BOTH_ENDS + _COMPONENTS))
 def components(s, d):
     return enrich.components(T.commerce(s, d, False))
 
 
-@query()
+@query(C(_PAGERANK))
 def pagerank(s, d):
-    return enrich.pagerank(T.commerce(s, d, False)).select("id", F.round("pagerank", 9).alias("pagerank"))
+    """Ranks times the number of nodes, so that five decimals say something."""
+    g = T.commerce(s, d, False)
+    n = g.nodes.count()
+    return enrich.pagerank(g).select("id", F.round(F.col("pagerank") * n + 1e-9, 5).alias("pagerank"))
 
 
 # -- provenance views and adapters -------------------------------------------------------------------------------------
@@ -409,9 +442,3 @@ def adjacency_both(s, d):
 @query("SELECT doc_id, 'concept:' || lower(lang) AS concept FROM documents")
 def content_concepts(s, d):
     return s.read.parquet(f"{d}/documents.parquet").select("doc_id", concept_id(F.col("lang")).alias("concept"))
-
-
-@query()
-def content_fragments(s, d):
-    t = s.read.parquet(f"{d}/documents.parquet")
-    return t.select("doc_id", fragment_id(F.lit("content"), F.coalesce("text", F.lit("")), F.array("lang", "source")).alias("fragment"))
