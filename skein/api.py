@@ -189,7 +189,7 @@ class Engine:
     def commit(self, context_id: str, out: Ingest, contributor: str, e: Emission, adapter: Adapter | None = None) -> Result:
         base, before = out.graph, self.store.manifest().contexts[context_id].snapshot
         r = write.apply(base, e, contributor)
-        r.changed = {k: saved(d) for k, d in r.changed.items()}
+        r.settle()
         out.commits.append((contributor, r))
         if r.is_noop():
             return r
@@ -201,7 +201,7 @@ class Engine:
         return r
 
     def _enrich(self, context_id: str, out: Ingest) -> None:
-        kinds = {k for _, r in out.commits for k, d in r.changed.items() if not d.isEmpty()}
+        kinds = {k for _, r in out.commits for k, n in (r.sizes or {}).items() if n}
         if not kinds:
             return
         base, before = out.graph, self.store.manifest().contexts[context_id].snapshot
@@ -291,7 +291,6 @@ class Engine:
         info = self._info(context)
         base, before = self.store.load(info.id), info.snapshot
         r = write.retracted(base, adapter_id)
-        r.changed = {k: saved(d) for k, d in r.changed.items()}
         n = r.counts()
         if n["ContributionsRetracted"]:
             self.store.save(info.id, r.graph, base, before)

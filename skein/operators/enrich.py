@@ -185,8 +185,7 @@ def run_rounds(g: Graph, enrichments: Sequence[Enrichment], events: set[str] | N
         events = {"EdgesAdded"}
         for name, t in added:
             done = write.apply(g, write.Emission(edges=t), name)
-            done.changed = {k: saved(d) for k, d in done.changed.items()}
-            if not done.changed["WeightsChanged"].isEmpty():
+            if done.settle().sizes["WeightsChanged"]:
                 events.add("WeightsChanged")
             g = Graph(g.nodes, saved(done.graph.edges))
             commits.append((name, done))

@@ -8,18 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..model import KEY, Graph, edge_id
+from ..model import KEY, Graph, edge_id, saved
 
 
 @dataclass
 class Emission:
-    """``updates``: (id, properties). ``edge_removals``: (source, target, relationship). ``removals``: (id)."""
+    """``updates``: (id, properties). ``edge_removals``: (source, target, relationship). ``removals``: (id).
+    ``annotations``: (id, confidence, method, source_location, detail) of emitted nodes, or of edges by ``edge_id``; they
+    come back in the result's provenance and aren't kept."""
 
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
     updates: DataFrame | None = None
     edge_removals: DataFrame | None = None
     removals: DataFrame | None = None
+    annotations: DataFrame | None = None
 
     def merge(self, other: Emission) -> Emission:
         both = lambda a, b: a if b is None else b if a is None else a.unionByName(b)
@@ -54,26 +57,41 @@ class Result:
     rejected: DataFrame | None = None
     changed: dict[str, DataFrame] = field(default_factory=dict)
     provenance: DataFrame | None = None
+    sizes: dict[str, int] | None = None
+
+    def settle(self) -> Result:
+        """Write all changes as one table, so that they are worked out once, and count them."""
+        if self.sizes is None and self.changed:
+            all_ = None
+            for k, d in self.changed.items():
+                d = d.select(F.lit(k).alias("change"), *[(F.col(c) if c in d.columns else F.lit(None).cast("string")).alias(c) for c in ["id", *KEY]])
+                all_ = d if all_ is None else all_.unionByName(d)
+            t = saved(all_)
+            found = {r.change: r.n for r in t.groupBy("change").agg(F.count("*").alias("n")).collect()}
+            self.sizes = {k: found.get(k, 0) for k in self.changed}
+            self.changed = {k: t.where(F.col("change") == k).select(["id"] if CHANGES[k][1] else KEY) for k in self.changed}
+        return self
 
     def counts(self) -> dict[str, int]:
-        n = {k: d.count() for k, d in self.changed.items()}
-        return n | {"rejected": 0 if self.rejected is None else self.rejected.count()}
+        self.settle()
+        return (self.sizes or {}) | {"rejected": 0 if self.rejected is None else self.rejected.count()}
 
     def is_noop(self) -> bool:
-        return all(d.isEmpty() for d in self.changed.values())
+        self.settle()
+        return not any((self.sizes or {}).values())
 
     def is_fully_committed(self) -> bool:
         return self.rejected is None or self.rejected.isEmpty()
 
     def events(self, adapter: str, context: str = "", after: int = 0) -> DataFrame | None:
         """Rows of EVENT for the changes that aren't empty, numbered from ``after`` + 1 in the order of CHANGES."""
+        self.settle()
         out, n = None, after
         for kind, (event, nodes, reason) in CHANGES.items():
-            d = self.changed.get(kind)
-            size = 0 if d is None else d.count()
+            size = (self.sizes or {}).get(kind, 0)
             if not size:
                 continue
-            n += 1
+            d, n = self.changed[kind], n + 1
             ids = d.select((F.col("id") if nodes else edge_id(context)).alias("id"))
             part = F.pmod(F.xxhash64("id"), F.lit(-(-size // EVENT_IDS))).cast("int").alias("part")
             e = ids.groupBy(part).agg(F.array_sort(F.collect_list("id")).alias("ids"))
@@ -218,6 +236,8 @@ def apply(g: Graph, e: Emission, adapter: str) -> Result:
     """
     nodes, edges, out = g.nodes, g.edges, Result(g)
     added = None
+    if e.annotations is not None:
+        out.provenance = e.annotations.withColumns({"adapter_id": F.lit(adapter), "timestamp": F.current_timestamp()})
     if e.nodes is not None:
         nodes = upsert_nodes(nodes, e.nodes)
         added = e.nodes.select("id").distinct()

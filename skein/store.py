@@ -74,6 +74,118 @@ class GraphStore(Protocol):
     def events(self, context_id: str) -> DataFrame: ...
 
 
+class ParquetStore:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self.seen = -1
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    # -- manifest --------------------------------------------------------------------------------------------------
+    def latest(self) -> int:
+        at = self._path("manifests")
+        if not self.fs.exists(at):
+            return 0
+        return max((int(f.getPath().getName()) for f in self.fs.listStatus(at) if f.getPath().getName().isdigit()), default=0)
+
+    def manifest(self) -> Manifest:
+        self.seen = n = self.latest()
+        if not n:
+            return Manifest()
+        s = self.fs.open(self._path(f"manifests/{n}"))
+        try:
+            d = json.loads(bytes(s.readAllBytes()))
+        finally:
+            s.close()
+        return Manifest(d["version"], {k: ContextInfo(**v) for k, v in d["contexts"].items()}, d["specs"], d["sequence"], d["events"])
+
+    def changed(self) -> bool:
+        """Whether someone has committed since this store last read the manifest."""
+        return self.latest() != self.seen
+
+    def _put(self, m: Manifest) -> bool:
+        from py4j.protocol import Py4JJavaError
+
+        temp = self._path(f"manifests/_{uuid.uuid4().hex}")
+        out = self.fs.create(temp, True)
+        out.write(json.dumps(asdict(m)).encode())
+        out.close()
+        target = self._path(f"manifests/{m.version}")
+        try:
+            done = not self.fs.exists(target) and self.fs.rename(temp, target)
+        except Py4JJavaError:
+            done = False
+        if not done:
+            self.fs.delete(temp, False)
+        return done
+
+    def change(self, edit: Callable[[Manifest], None], tries: int = 10) -> Manifest:
+        """Apply ``edit`` to the latest manifest and commit it; done again if another writer was quicker."""
+        for _ in range(tries):
+            m = self.manifest()
+            edit(m)
+            m.version += 1
+            if self._put(m):
+                self.seen = m.version
+                return m
+        raise Conflict(f"no commit in {tries} tries")
+
+    # -- snapshots -------------------------------------------------------------------------------------------------
+    def load(self, context_id: str) -> Graph:
+        return self._graph(self.manifest().contexts[context_id].snapshot)
+
+    def _graph(self, snapshot: str | None) -> Graph:
+        if snapshot is None:
+            return Graph(self.spark.createDataFrame([], NODE), self.spark.createDataFrame([], EDGE))
+        return Graph(*(self.spark.read.schema(s).parquet(f"{self.root}/{snapshot}/{n}") for n, s in (("nodes", NODE), ("edges", EDGE))))
+
+    def _write(self, context_id: str, g: Graph) -> str:
+        name = f"data/{context_id}/{uuid.uuid4().hex}"
+        columns = lambda s: [c.split()[0] for c in s.replace("map<string,", "map<string;").split(",")]
+        g.nodes.select(columns(NODE)).write.parquet(f"{self.root}/{name}/nodes")
+        g.edges.select(columns(EDGE)).write.parquet(f"{self.root}/{name}/edges")
+        return name
+
+    def save(self, context_id: str, g: Graph, base: Graph | None = None, base_snapshot: str | None = None) -> Graph:
+        """Make ``g`` the snapshot of a context. If another writer has committed since ``base_snapshot``, whose graph is
+        ``base``, rows that it added stay: those of its snapshot that aren't in ``base``."""
+        name = self._write(context_id, g)
+
+        def edit(m: Manifest) -> None:
+            nonlocal name
+            c = m.contexts[context_id]
+            if base is not None and c.snapshot != base_snapshot and c.snapshot is not None:
+                theirs, ours = self._graph(c.snapshot), self._graph(name)
+                n = theirs.nodes.join(base.nodes.select("id"), "id", "left_anti").join(ours.nodes.select("id"), "id", "left_anti")
+                e = theirs.edges.join(base.edges.select(KEY), KEY, "left_anti").join(ours.edges.select(KEY), KEY, "left_anti")
+                name = self._write(context_id, Graph(ours.nodes.unionByName(n), ours.edges.unionByName(e)))
+            c.snapshot, c.version, c.updated_at = name, c.version + 1, stamp()
+
+        self.change(edit)
+        return self._graph(name)
+
+    # -- events ----------------------------------------------------------------------------------------------------
+    def append(self, context_id: str, adapter: str, result: Result) -> DataFrame | None:
+        """Log the result's changes; returns their rows. Sequence numbers are given by the commit, one for each event."""
+        rows = result.events(adapter, context_id)
+        if rows is None:
+            return None
+        name, count = f"events/{context_id}/{uuid.uuid4().hex}", sum(n > 0 for n in result.sizes.values())
+
+        def edit(m: Manifest) -> None:
+            part = f"{name}-{m.sequence}"
+            rows.withColumn("sequence", F.col("sequence") + m.sequence).write.mode("overwrite").parquet(f"{self.root}/{part}")
+            m.events.setdefault(context_id, []).append(part)
+            m.sequence += count
+
+        m = self.change(edit)
+        return self.spark.read.schema(EVENT).parquet(f"{self.root}/{m.events[context_id][-1]}")
+
+    def events(self, context_id: str) -> DataFrame: ...
+
+
 class ParquetStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")

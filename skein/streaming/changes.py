@@ -13,8 +13,9 @@ from ..operators.write import EVENT
 
 
 def changes(spark: SparkSession, root: str, context_id: str, cursor: int = 0, adapter_id: str | None = None, event_types: Sequence[str] = ()) -> DataFrame:
-    """Events of a context after ``cursor`` as they are logged; the stream's checkpoint is the cursor from then on. Parts
-    that aren't committed (drafts) are never read. Compaction of the log gives events again."""
+    """Events of a context after ``cursor`` as they are logged; the stream's checkpoint is the cursor from then on.
+    Delivery is at least once: a part that lost a race for its sequence numbers is seen, too, and compaction of the log
+    gives events again. Keep (sequence, part) of the highest ones to tell."""
     parts = spark.readStream.schema(EVENT).option("pathGlobFilter", "*.parquet").parquet(f"{root}/events/{context_id}/*-[0-9]*")
     c = every([F.col("sequence") > cursor, None if adapter_id is None else F.col("adapter_id") == adapter_id, F.col("event_type").isin(*event_types) if event_types else None])
     return parts.where(c)

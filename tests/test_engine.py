@@ -404,3 +404,21 @@ def test_provenance_batches(spark):
 def test_content_parts(spark):
     added = spark.createDataFrame([("concept:b",), ("concept:a",), ("fragment:1",), ("mark:1",)], "id string")
     assert {tuple(r) for r in content.outbound(added).collect()} == {("fragment_indexed", "fragment:1"), ("concepts_detected", "a, b")}
+
+
+def test_tools(engine):
+    from skein.tools import Tools
+
+    t = Tools(engine)
+    assert len(t.names()) == 18 and "error" in t.call("list_tags") and "error" in t.call("nothing")
+    assert t.call("set_context", name="lab")["name"] == "lab"
+    done = t.call("ingest", data={"text": "one", "tags": ["a", "b"]})
+    assert {e["kind"] for e in done["events"]} == {"fragment_indexed", "concepts_detected"} and done["commits"][0]["EdgesAdded"] == 3
+    assert t.call("list_tags") == {"tags": ["a", "b"]}
+    assert t.call("find_nodes", node_type="concept", limit=1)["rows"][0]["total_count"] == 2
+    path = t.call("find_path", source="concept:a", target="concept:b")
+    assert path["found"] and path["length"] == 1
+    ranked = t.call("traverse", origin="concept:a", rank_by="raw_weight", relationship_prefix="may")
+    assert [r["id"] for r in ranked["levels"]["rows"]] == ["concept:a", "concept:b"]
+    assert t.call("changes_since", limit=1)["latest_sequence"] == 1
+    assert t.call("explain_edge", source="concept:a", target="nobody")["error"].startswith("no such node")
