@@ -41,8 +41,12 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.translate(LOWER) if not text.isascii() else text.lower()) if text else []
 
 
+#: In the table of frequencies: numbers of documents and of words; no word has such characters.
+DOCS, WORDS = "\x00docs", "\x00words"
+
+
 def frequencies(chunks: DataFrame, total: int, most: int = 400_000) -> DataFrame:
-    """(term, df) over all documents: counted per task, then summed."""
+    """(term, df) over all documents, and rows for DOCS and WORDS: counted per task, then summed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
@@ -51,8 +55,13 @@ def frequencies(chunks: DataFrame, total: int, most: int = 400_000) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["term", "n"])
 
         for b in batches:
+            size = 0
             for t in b.column(0).to_pylist():
-                c.update(set(words(t)))
+                w = words(t)
+                size += len(w)
+                c.update(set(w))
+            c[DOCS] += b.num_rows
+            c[WORDS] += size
             if len(c) > most:
                 yield out()
                 c.clear()
@@ -172,14 +181,11 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, terms: int | N
     at = scratch(documents.sparkSession)
     chunks, total = chunked(documents, ["doc_id", "text"], at)
 
-    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [len(words(t)) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([len(n)], pa.int64()), pa.array([sum(n)], pa.int64())], ["n", "words"])
-
-    n, size = chunks.select("text").mapInArrow(lean(lengths), "n bigint, words bigint").agg(F.sum("n"), F.sum("words")).first()
-    n, mean = n or 0, (size or 0) / max(1, n or 0)
-    df = frequencies(chunks, total)
+    counted = table(frequencies(chunks, total), at, "frequencies")
+    sizes = {r.term: r.df for r in counted.where(F.col("term").isin(DOCS, WORDS)).collect()}
+    n = sizes.get(DOCS, 0)
+    mean = sizes.get(WORDS, 0) / max(1, n)
+    df = counted.where(~F.col("term").isin(DOCS, WORDS))
     q = table(queries_of(queries, df, n, terms), at, "asked")
     size = q.agg(F.sum(F.size("terms"))).first()[0] or 0
     blocks = max(1, -(-size // QUERY_TERMS))
