@@ -130,6 +130,7 @@ ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 FENCE = re.compile(r" {0,3}(`{3,}|~{3,})[ \t]*([^`]*)$")
 SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 LINK = re.compile(r"!?\[((?:[^\[\]\\]|\\.)*)\](?:\([^()]*(?:\([^()]*\)[^()]*)*\)|\[[^\]]*\])|<((?:https?|mailto):[^ <>]+)>")
+RULE = re.compile(r" {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$")
 NOT_TEXT = re.compile(r" {0,3}(?:[-*+>]|\d{1,9}[.)]|(?:[-*_][ \t]*){3,}$)")
 
 
@@ -184,6 +185,8 @@ def markdown(path: str, content: str) -> tuple[list[str], list[tuple[str, int, i
             if label:
                 say(label)
                 heads.append((label, begun))
+        elif RULE.match(line):
+            flush()
         elif not line.strip() or (not paragraph and line.startswith(("    ", "\t"))):
             flush()
         else:

@@ -111,13 +111,14 @@ def extract_file_nodes(s, d):
     return files.registration(_files(s, d)).nodes.select("id", "node_type")
 
 
-@query(f"WITH X AS (SELECT path, lang FROM ({_FILE}) JOIN documents USING (doc_id) WHERE path LIKE '%.md') SELECT path, 'Doc ' || path[6:length(path) - 3] AS label, 4::BIGINT AS start_line, 7::BIGINT AS end_line FROM X UNION ALL SELECT path, lang, 8, 9 FROM X")
+@query(f"WITH X AS (SELECT path, lang, source FROM ({_FILE}) JOIN documents USING (doc_id) WHERE path LIKE '%.md') SELECT path, 'Doc ' || path[6:length(path) - 3] AS label, 4::BIGINT AS start_line, 7::BIGINT AS end_line FROM X UNION ALL SELECT path, lang, 8, 9 FROM X UNION ALL SELECT path, 'tags: [' || upper(lang) || ', ' || source || ']', 2, 3 FROM X")
 def markdown_sections(s, d):
+    """The closing line of a front matter underlines the line before it: to Markdown, that's a heading."""
     x = files.structure(_files(s, d)).select("path", F.explode("sections").alias("s"))
     return x.select("path", "s.label", "s.start_line", "s.end_line")
 
 
-@query(f"SELECT path, CASE WHEN path LIKE '%.md' THEN 'doc ' || doc_id || ',' || lower(source) || CASE WHEN lower(lang) = lower(source) THEN '' ELSE ',' || lower(lang) END ELSE '' END AS vocabulary FROM ({_FILE}) JOIN documents USING (doc_id)")
+@query(f"SELECT path, CASE WHEN path LIKE '%.md' THEN lower('tags: [' || lang || ', ' || source || '],doc ') || doc_id || ',' || lower(source) || CASE WHEN lower(lang) = lower(source) THEN '' ELSE ',' || lower(lang) END ELSE '' END AS vocabulary FROM ({_FILE}) JOIN documents USING (doc_id)")
 def markdown_vocabulary(s, d):
     return files.structure(_files(s, d)).select("path", F.array_join("vocabulary", ",").alias("vocabulary"))
 

@@ -204,6 +204,7 @@ def test_markdown_and_front_matter():
     words, sections = files.markdown("p", text)
     assert words == ["simple document", "a link", "rust extra", "section two", "ref", "three", "in list"]
     assert sections == [("Simple Document", 1, 6), ("Section Two", 7, 10), ("Three", 11, 13)]
+    assert files.markdown("p", "---\ntags: [a]\n---\n***\n# H\n")[1] == [("tags: [a]", 2, 4), ("H", 5, 5)]
     assert files.markdown("p", "") == ([], []) and files.markdown("p", "plain\ntext") == ([], [])
     m, w = files.front_matter("\n---\ntitle: T\ntags: [Rust, Knowledge-Graph, 3]\n---\n# Head\n")
     assert files.tags_of(m) == ["rust", "knowledge-graph"] and w is None
