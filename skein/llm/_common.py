@@ -18,10 +18,12 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def scratch(spark: SparkSession) -> str:
     """A new folder (URI or path) below ``spark.checkpoint.dir``, which every executor can read.
 
-    The setting is read from the session; only where it is unset (tests) a local folder is made and set.
+    The setting is read from the session; only a local session that has none (tests) is given a local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="skein-shared-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()

@@ -45,6 +45,8 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
 )
 BASE = ("assign", "access", "hex")
+#: Candidates (an id with up to a kind for each rule, some 150 bytes) that may be broadcast.
+MAX_BROADCAST = 200_000
 
 
 def trigram_query(pattern: str, most: int = 64) -> list[frozenset[str]]:
@@ -137,7 +139,7 @@ def find(documents: DataFrame, rules: tuple[Rule, ...] = RULES, at: str | None =
     if cand is not None:
         some = [r for r in rules if has[r.kind]]
         kinds = cand.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
-        texts = table(documents.join(small(table(kinds, at, "kinds")), "doc_id"), at, "texts")
+        texts = table(documents.join(small(table(kinds, at, "kinds"), MAX_BROADCAST), "doc_id"), at, "texts")
         found += [scan(texts.where(F.array_contains("kinds", r.kind)), r) for r in some]
     out = found[0]
     for f in found[1:]:
