@@ -114,13 +114,13 @@ def lookup(chunks: DataFrame, total: int, count: Callable[[pa.RecordBatch], dict
     return f"{at}/{name}"
 
 
-def values_of(folder: str, chunk: int) -> tuple[list[str], pa.Array]:
-    """The words of a chunk and their values."""
+def values_of(folder: str, chunk: int, kind: pa.DataType) -> tuple[pa.Array, pa.Array]:
+    """The words of a chunk and their values, of Arrow type ``kind``."""
     t = read_folder(f"{folder}/chunk={chunk}")
     if t is None:
-        return [], pa.array([], pa.null())
+        return pa.array([], pa.string()), pa.array([], kind)
     t = t.combine_chunks()
-    return t.column("words").combine_chunks().flatten().to_pylist(), t.column("values").combine_chunks().flatten()
+    return t.column("words").combine_chunks().flatten(), t.column("values").combine_chunks().flatten()
 
 
 def quiet() -> None:

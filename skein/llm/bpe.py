@@ -11,9 +11,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ._arrays import lean
@@ -84,8 +86,33 @@ def encode_words(words: list[str], path: str) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(odd, pa.string())], ["ids", "odd"])
 
 
+VALUE = pa.struct([("ids", pa.binary()), ("odd", pa.string())])
+#: Bytes of text whose words are looked up at once.
+LOOK_UP = 1 << 20
+
+
+@lru_cache(maxsize=2)
+def decimals(path: str) -> pa.Array:
+    return pa.array([str(i) for i in range(len(pieces(path)))])
+
+
+def joined(parts: pa.Array, sizes: np.ndarray, by: str) -> pa.Array:
+    """Runs of strings, of the given sizes, each joined."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+    return pc.binary_join(pa.LargeListArray.from_arrays(offsets, parts), by)
+
+
+def listed(ids: pa.Array, path: str) -> pa.Array:
+    """Decimal ids, comma-joined, of words from their ids as integers."""
+    data, n = np.frombuffer(b"".join(ids.to_pylist()), width(path)), pc.binary_length(ids).to_numpy() // np.dtype(width(path)).itemsize
+    return joined(decimals(path).take(pa.array(data)), n, ",")
+
+
 def encoded(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids (decimal, comma-joined), decoded: a row for each row. A null text counts as empty."""
+    """doc_id, n_tokens, ids (decimal, comma-joined), decoded: a row for each row. A null text counts as empty. doc_id may
+    have any type; other columns are ignored.
+
+    A chunk's words and ids are held as Arrow arrays; words are looked up in them about a megabyte of text at a time."""
     at = scratch(documents.sparkSession)
     chunks, total = chunked(documents, ["doc_id", "text"], at)
 
@@ -99,25 +126,29 @@ def encoded(documents: DataFrame, path: str) -> DataFrame:
     folder = lookup(chunks, total, count, lambda words, _: encode_words(words, path), "struct<ids: binary, odd: string>", at, "words")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, odd = None, {}, {}
+        now, words, ids, odd = None, None, None, None
         for chunk, b in by_chunk(batches):
             if chunk != now:
-                ids = odd = {}
-                words, v = values_of(folder, chunk)
-                if words:
-                    ids = {w: ",".join(map(str, np.frombuffer(x, width(path)).tolist())) for w, x in zip(words, v.field("ids").to_pylist())}
-                    odd = {w: x for w, x in zip(words, v.field("odd").to_pylist()) if x is not None}
-                now = chunk
-            for k in range(0, b.num_rows, 100):
-                lists, texts = [], []
-                for t in b.column(2).slice(k, 100).to_pylist():
-                    words = split(t, path) if t else []
-                    lists.append(",".join([ids[w] for w in words]))
-                    texts.append("".join([odd.get(w, w) for w in words] if odd else words))
-                n = pa.array([x.count(",") + 1 if x else 0 for x in lists], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(k, 100), n, pa.array(lists), pa.array(texts)], ["doc_id", "n_tokens", "ids", "decoded"])
-
-    return chunks.mapInArrow(lean(join), "doc_id bigint, n_tokens bigint, ids string, decoded string")
+                words = ids = odd = None
+                words, v = values_of(folder, chunk, VALUE)
+                ids, odd, now = listed(v.field("ids"), path), v.field("odd"), chunk
+                del v
+            step = max(1, b.num_rows * LOOK_UP // max(1, b.nbytes))
+            for k in range(0, b.num_rows, step):
+                parts = [split(t, path) if t else [] for t in b.column(2).slice(k, step).to_pylist()]
+                sizes = np.array([len(p) for p in parts])
+                flat = pa.array(list(chain.from_iterable(parts)), pa.string())
+                del parts
+                place = pc.index_in(flat, value_set=words)
+                if place.null_count:
+                    raise KeyError("a word is missing from its chunk's table")
+                lists = joined(ids.take(place), sizes, ",")
+                n = pc.if_else(pc.equal(lists, ""), 0, pc.add(pc.count_substring(lists, ","), 1)).cast(pa.int64())
+                texts = joined(pc.coalesce(odd.take(place), flat), sizes, "")
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(k, step), n, lists, texts], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return chunks.mapInArrow(lean(join), f"doc_id {kind}, n_tokens bigint, ids string, decoded string")
 
 
 def digests(documents: DataFrame, path: str) -> DataFrame:
@@ -129,7 +160,8 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
             sha = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in b.column(c).to_pylist()], pa.string()) for c in (2, 3)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *sha], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return e.mapInArrow(lean(digest), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return e.mapInArrow(lean(digest), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def default_path() -> str:
