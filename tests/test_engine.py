@@ -94,7 +94,9 @@ def test_same_ingest_again_changes_nothing(engine):
     assert ids(engine.list_tags("lab"), "tag") == ["a", "b"]
 
 
-def test_provenance_life(engine):
+def test_provenance_life(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/store", enrichments=[])
+    engine.context_create("lab")
     engine.create_chain("lab", "chain:1", "field notes")
     for k in (1, 2):
         engine.add_mark("lab", f"mark:{k}", "chain:1", "src/graph/mod.rs", 42, "an entry", tags=["#graph", "#entry-point"], mark_type="note")
