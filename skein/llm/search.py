@@ -5,7 +5,9 @@ of the corpus, see ``_chunks``) builds its inverted index with BM25 weights from
 cut into blocks of 64 consecutive documents with their largest weight. For a query, the blocks' bounds (sums of its
 terms' block maxima) are visited from the highest; blocks whose bound is below the k-th score so far are skipped. Shards
 return their k best, of which the k best overall are exact. Where a query has more than ``DENSE`` terms, nearly every
-block's bound is above the k-th score, so all its postings are summed at once; the results are the same.
+block's bound is above the k-th score, so all its postings are summed at once: those of common terms, for many queries,
+as a product of matrices in single precision. What that leaves, within its largest error, below the k-th score is
+dropped, and the rest is scored again in double precision; the results are the same.
 
 Queries are documents: all distinct words of the whole text of each, or its ``terms`` most distinctive (count times
 idf). They are read block by block, so a shard holds those of about ``QUERY_TERMS`` terms at once.
@@ -13,9 +15,9 @@ idf). They are read block by block, so a shard holds those of about ``QUERY_TERM
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,21 +26,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._arrays import lean
+from ._arrays import lean, ranges
 from ._chunks import by_chunk, chunked, read_folder
 from ._common import read, scratch, table
 
-WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: A-Z lower-cased, other ASCII characters than letters and digits as spaces.
+SPACED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 K1, B, BLOCK = 1.2, 0.75, 64
 #: Terms of queries that a shard holds in memory at once.
 QUERY_TERMS = 1_000_000
 #: Terms of a query above which all of its postings are summed.
-DENSE = 64
+DENSE = 16
+#: Share of a shard's documents above which a term is common, and numbers in a matrix of common terms by documents.
+COMMON, MATRIX = 0.04, 16_000_000
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.translate(LOWER) if not text.isascii() else text.lower()) if text else []
+    return [w for w in text.encode().translate(SPACED).decode().split(" ") if w] if text else []
 
 
 #: In the table of frequencies: numbers of documents and of words; no word has such characters.
@@ -96,70 +100,148 @@ class Index:
     """The inverted index of a shard; rows are added in any order of doc_id."""
 
     def __init__(self, mean: float, wanted: set[str] | None = None):
-        self.mean, self.wanted, self.ids, self.lengths, self.post = mean, wanted, [], [], {}
-        self.built: dict[str, tuple] = {}
+        self.mean, self.ids, self.lengths, self.parts, self.sizes = mean, [], [], [], []
+        self.vocab: defaultdict[str, int] = defaultdict()
+        if wanted is None:
+            self.vocab.default_factory = self.vocab.__len__
+        else:
+            self.vocab.update(zip(wanted, range(len(wanted))))
+        self.known = None if wanted is None else repeat(-1)
+        self.built: dict[int, tuple] = {}
 
     def add(self, doc: int, tokens: list[str]) -> None:
-        at = len(self.ids)
         self.ids.append(doc)
         self.lengths.append(len(tokens))
         c = Counter(tokens)
-        for w in c.keys() & self.wanted if self.wanted is not None else c:
-            p = self.post.get(w)
-            if p is None:
-                p = self.post[w] = ([], [])
-            p[0].append(at)
-            p[1].append(c[w])
+        self.sizes.append(len(c))
+        ids = map(self.vocab.__getitem__, c) if self.known is None else map(self.vocab.get, c, self.known)
+        self.parts.append((np.fromiter(ids, np.int32, len(c)), np.fromiter(c.values(), np.int32, len(c))))
 
     def close(self) -> Index:
         self.ids = np.array(self.ids, np.int64)
-        self.norm = K1 * (1 - B + B * np.array(self.lengths, float) / max(self.mean, 1e-9))
+        norm = K1 * (1 - B + B * np.array(self.lengths, float) / max(self.mean, 1e-9))
+        term, tf = (np.concatenate([np.zeros(0, np.int32), *x]) for x in zip(*self.parts)) if self.parts else (np.zeros(0, np.int32),) * 2
+        doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
+        if self.known is not None:
+            keep = term >= 0
+            term, tf, doc = term[keep], tf[keep], doc[keep]
+        self.parts.clear()
+        weight = tf * (K1 + 1) / (tf + norm[doc])
+        #: By document: its terms and their weights without idf. By term: its documents and the same weights.
+        self.term, self.weight, self.begin = term, weight, np.searchsorted(doc, np.arange(len(self.ids) + 1))
+        order = np.argsort(term, kind="stable")
+        self.doc, self.by_term = doc[order], weight[order]
+        self.df = np.bincount(term, minlength=len(self.vocab))
+        self.start = np.cumsum(self.df) - self.df
+        self.words = pa.array(self.vocab.keys(), pa.string())
+        self.place = np.full(len(self.vocab), -1)
+        n = len(self.ids)
+        heavy = np.flatnonzero(self.df > COMMON * n)
+        heavy = heavy[np.argsort(-self.df[heavy], kind="stable")[: MATRIX // max(1, n)]]
+        self.column = np.full(len(self.vocab), -1)
+        self.column[heavy] = np.arange(len(heavy))
+        self.matrix = np.zeros((len(heavy), n), np.float32)
+        at = np.flatnonzero(self.column[term] >= 0)
+        self.matrix[self.column[term[at]], doc[at]] = weight[at]
         return self
 
-    def postings(self, term: str):
-        """(documents, weights without idf, block numbers, block maxima)."""
+    def postings(self, term: int):
+        """(documents, weights without idf, block numbers, block maxima, where blocks begin and end)."""
         if term not in self.built:
-            if term not in self.post:
-                return None
-            at, tf = (np.array(x) for x in self.post.pop(term))
-            w = tf * (K1 + 1) / (tf + self.norm[at])
+            s = slice(self.start[term], self.start[term] + self.df[term])
+            at, w = self.doc[s], self.by_term[s]
             blocks, starts = np.unique(at // BLOCK, return_index=True)
             self.built[term] = at, w, blocks, np.maximum.reduceat(w, starts), np.append(starts, len(at))
         return self.built[term]
 
-    def top(self, terms: list[str], weights: list[float], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """doc_ids and scores of the k best with a term in common, by score, then doc_id."""
-        ps = [(p, x) for t, x in zip(terms, weights) if (p := self.postings(t)) is not None]
-        if not ps:
-            return np.zeros(0, np.int64), np.zeros(0)
-        if len(ps) > DENSE:
-            total = np.zeros(len(self.ids))
-            for p, x in ps:
-                total[p[0]] += p[1] * x
-            at = np.flatnonzero(total > 0)
-            if len(at) > k:
-                at = at[total[at] >= np.partition(total[at], len(at) - k)[len(at) - k]]
-            best = at[np.lexsort((self.ids[at], -total[at]))[:k]]
-            return self.ids[best], total[best]
+    def answers(self, asked: pa.Table, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(qid, doc_ids, scores) of the k best of each query (qid, terms, weights), by score, then doc_id."""
+        asked = asked.combine_chunks()
+        terms, weights = asked.column("terms").combine_chunks(), asked.column("weights").combine_chunks()
+        ids = pc.fill_null(pc.index_in(terms.flatten(), value_set=self.words), -1).to_numpy()
+        ids = np.where((ids >= 0) & (np.append(self.df, 0)[ids] > 0), ids, -1)
+        xs, qids = weights.flatten().to_numpy(), asked.column("qid").to_numpy()
+        cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(terms).to_numpy())])
+        known = np.concatenate([[0], np.cumsum(ids >= 0)])[cuts]
+        size = np.diff(known)
+        for q in np.flatnonzero((size > 0) & (size <= DENSE)):
+            s = slice(cuts[q], cuts[q + 1])
+            yield qids[q], *self.top(ids[s], xs[s], k)
+        many = np.flatnonzero(size > DENSE)
+        step = max(1, MATRIX // 4 // max(1, len(self.ids)))
+        for x in range(0, len(many), step):
+            some = many[x : x + step]
+            approx, error = self.sums([(ids[cuts[q] : cuts[q + 1]], xs[cuts[q] : cuts[q + 1]]) for q in some])
+            groups = approx.shape[1] // BLOCK
+            floor = np.zeros(len(some), np.float32)
+            if groups > k:  # the k-th highest of the groups' maxima is no more than the k-th score
+                tops = approx[:, : groups * BLOCK].reshape(len(some), groups, BLOCK).max(2)
+                floor = np.partition(tops, groups - k, axis=1)[:, groups - k]
+            for q, row, low in zip(some, approx, floor):
+                at = np.flatnonzero(row >= low * (1 - error)) if low > 0 else np.flatnonzero(row > 0)
+                if len(at) > k:
+                    at = at[row[at] >= np.partition(row[at], len(at) - k)[len(at) - k] * (1 - error)]
+                s = slice(cuts[q], cuts[q + 1])
+                score = self.exact(at, ids[s], xs[s])
+                best = np.lexsort((self.ids[at], -score))[:k]
+                yield qids[q], self.ids[at[best]], score[best]
+
+    def sums(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
+        """Scores of all documents, a row for each query (term numbers, weights), and twice their largest relative error:
+        common terms as a product of matrices in single precision, the others' postings summed."""
+        common = np.zeros((len(queries), len(self.matrix)), np.float32)
+        rest = []
+        for row, (ids, xs) in zip(common, queries):
+            ids, xs = ids[ids >= 0], xs[ids >= 0]
+            column = self.column[ids]
+            row[column[column >= 0]] = xs[column >= 0]
+            rest.append((ids[column < 0], xs[column < 0]))
+        out = common @ self.matrix
+        for row, (ids, xs) in zip(out, rest):
+            n = self.df[ids]
+            at = ranges(self.start[ids], n)
+            row += np.bincount(self.doc[at], weights=self.by_term[at] * np.repeat(xs, n), minlength=len(row))
+        return out, 2.0 * (len(self.matrix) + 8) * 2.0**-24
+
+    def exact(self, docs: np.ndarray, ids: np.ndarray, xs: np.ndarray) -> np.ndarray:
+        """Scores of some documents for a query, summed in the order of its terms, so equal texts have equal scores."""
+        here = np.flatnonzero(ids >= 0)
+        self.place[ids[here]] = here
+        out = []
+        for x in range(0, len(docs), 256):
+            d = docs[x : x + 256]
+            n = self.begin[d + 1] - self.begin[d]
+            at = ranges(self.begin[d], n)
+            place = self.place[self.term[at]]
+            found = place >= 0
+            m = np.zeros((len(d), len(ids)))
+            m[np.repeat(np.arange(len(d)), n)[found], place[found]] = self.weight[at[found]]
+            m *= xs
+            out.append(m.sum(1))
+        self.place[ids[here]] = -1
+        return np.concatenate([np.zeros(0), *out])
+
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """doc_ids and scores of the k best with a term in common, block by block."""
+        ps = [(self.postings(t), x) for t, x in zip(terms.tolist(), weights.tolist()) if t >= 0]
         blocks = np.unique(np.concatenate([p[2] for p, _ in ps]))
         bound = np.zeros(len(blocks))
         for p, x in ps:
             bound[np.searchsorted(blocks, p[2])] += p[3] * x
         order = np.argsort(-bound, kind="stable")
         docs, scores, floor, k0 = np.zeros(0, np.int64), np.zeros(0), -np.inf, 0
-        step = 8
+        step, open_ = 8, np.zeros(blocks[-1] + 1, bool)
         while k0 < len(order) and bound[order[k0]] * (1 + 1e-9) >= floor:
-            take = np.sort(blocks[order[k0 : k0 + step]])
+            take = blocks[order[k0 : k0 + step]]
             k0, step = k0 + step, step * 2
             at, score = [], []
+            open_[take] = True
             for p, x in ps:
-                i = np.searchsorted(p[2], take)
-                i = i[(i < len(p[2]))]
-                i = i[np.isin(p[2][i], take)]
-                for j in np.unique(i):
-                    s = slice(p[4][j], p[4][j + 1])
-                    at.append(p[0][s])
-                    score.append(p[1][s] * x)
+                i = np.flatnonzero(open_[p[2]])
+                j = ranges(p[4][i], p[4][i + 1] - p[4][i])
+                at.append(p[0][j])
+                score.append(p[1][j] * x)
+            open_[take] = False
             d, inv = np.unique(np.concatenate(at), return_inverse=True)
             s = np.bincount(inv, weights=np.concatenate(score))
             docs, scores = np.concatenate([docs, self.ids[d]]), np.concatenate([scores, s])
@@ -207,8 +289,7 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, terms: int | N
                 if part is None:
                     continue
                 qs, ds, ss = [], [], []
-                for qid, t, w in zip(*(part.column(c).to_pylist() for c in ("qid", "terms", "weights"))):
-                    d, s = ix.top(t, w, k)
+                for qid, d, s in ix.answers(part, k):
                     qs.append(np.full(len(d), qid))
                     ds.append(d)
                     ss.append(s)

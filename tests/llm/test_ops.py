@@ -1,6 +1,11 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,6 +234,44 @@ def test_search_repeated_query_rows(spark):
     assert a == b and len(a) == 3
 
 
+def test_search_long_queries_against_brute_force(monkeypatch):
+    """Equal texts tie by doc_id; of long queries, most postings aren't visited one by one."""
+    r = random.Random(4)
+    vocab = [f"w{i}" for i in range(3000)]
+    docs = [[vocab[int(3000 * r.random() ** 3)] for _ in range(r.randrange(5, 300))] for _ in range(3000)]
+    docs[2000:2030] = [docs[7]] * 30
+    tokens, ids = list(map(len, docs)), [(i * 7919) % 3001 for i in range(3000)]
+    mean, df = sum(tokens) / 3000, Counter(w for d in docs for w in set(d))
+    idf = {w: math.log1p((3000 - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    ix = search.Index(mean)
+    for i, d in zip(ids, docs):
+        ix.add(i, d)
+    ix.close()
+    post = {}
+    for at, d in enumerate(docs):
+        for w, n in Counter(d).items():
+            post.setdefault(w, ([], []))
+            post[w][0].append(at)
+            post[w][1].append(n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(d) / mean)))
+    post = {w: (np.array(at), np.array(x)) for w, (at, x) in post.items()}
+    queries = [sorted({*d, "unheard"}) for d in docs[:400]]
+    asked = pa.table({"qid": pa.array(range(400), pa.int64()), "terms": pa.array(queries), "weights": pa.array([[idf.get(w, 1.0) for w in q] for q in queries])})
+    visited, ranges = [], search.ranges
+    monkeypatch.setattr(search, "ranges", lambda starts, n: visited.append(int(n.sum())) or ranges(starts, n))
+    got = {q: (d.tolist(), s) for q, d, s in ix.answers(asked, 10)}
+    assert sum(visited) < 0.5 * sum(df[w] for q in queries for w in q)
+    sums = []
+    for q in queries:
+        sums.append(np.zeros(3000))
+        for w in q:
+            if w in post:
+                sums[-1][post[w][0]] += post[w][1] * idf[w]
+    for q, s in enumerate(sums):
+        best = sorted((-round(x, 9), i) for x, i in zip(s.tolist(), ids) if x > 0)[:10]
+        assert got[q][0] == [i for _, i in best] and np.allclose(got[q][1], [-x for x, _ in best], atol=1e-8)
+    assert got[7][0] == sorted(ids[i] for i in [7, *range(2000, 2030)])[:10]
+
+
 def test_decontamination_without_broadcast(spark):
     bench = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(14))), (2, "short item")], "item_id bigint, text string")
     docs = texts(spark, {1: "x " + " ".join(f"b{i}" for i in range(2, 13)) + " y short ITEM short item", 2: None, 3: "b1 b2", 4: "item short"})
