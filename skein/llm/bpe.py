@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ._arrays import lean
-from ._chunks import by_chunk, chunked, lookup, quiet, values_of
+from ._chunks import by_chunk, chunked, looked_up, lookup, quiet, values_of
 from ._common import read, scratch
 
 #: Characters below U+0250 by the classes of the splitting pattern; texts with others are split by the library itself.
@@ -78,8 +78,8 @@ def encode_words(words: list[str], path: str) -> pa.Array:
     """For each word {ids: its ids as little-endian integers (``width``), odd: its decoded text where that isn't the word}."""
     t, table, kind = tokenizer(path), pieces(path), width(path)
     ids, odd = [], []
-    for k in range(0, len(words), 10_000):
-        for w, e in zip(words[k : k + 10_000], t.encode_batch(words[k : k + 10_000], add_special_tokens=False)):
+    for k in range(0, len(words), 2_000):
+        for w, e in zip(words[k : k + 2_000], t.encode_batch(words[k : k + 2_000], add_special_tokens=False)):
             ids.append(np.array(e.ids, kind).tobytes())
             back = b"".join([table[i] for i in e.ids]).decode("utf-8", "replace")
             odd.append(None if back == w else back)
@@ -87,8 +87,6 @@ def encode_words(words: list[str], path: str) -> pa.Array:
 
 
 VALUE = pa.struct([("ids", pa.binary()), ("odd", pa.string())])
-#: Bytes of text whose words are looked up at once.
-LOOK_UP = 1 << 20
 
 
 @lru_cache(maxsize=2)
@@ -108,22 +106,21 @@ def listed(ids: pa.Array, path: str) -> pa.Array:
     return joined(decimals(path).take(pa.array(data)), n, ",")
 
 
-def encoded(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids (decimal, comma-joined), decoded: a row for each row. A null text counts as empty. doc_id may
-    have any type; other columns are ignored.
+def _encoded(documents: DataFrame, path: str, finish: Callable[[pa.Array, pa.Array], list[pa.Array]], schema: str) -> DataFrame:
+    """doc_id, n_tokens and what ``finish`` makes of ids (decimal, comma-joined) and decoded texts, with its ``schema``.
 
     A chunk's words and ids are held as Arrow arrays; words are looked up in them about a megabyte of text at a time."""
     at = scratch(documents.sparkSession)
     chunks, total = chunked(documents, ["doc_id", "text"], at)
 
-    def count(b: pa.RecordBatch) -> dict[str, int]:
+    def distinct(b: pa.RecordBatch) -> set[str]:
         words: set[str] = set()
         for t in b.column(2).to_pylist():
             if t:
                 words.update(split(t, path))
-        return dict.fromkeys(words, 0)
+        return words
 
-    folder = lookup(chunks, total, count, lambda words, _: encode_words(words, path), "struct<ids: binary, odd: string>", at, "words")
+    folder = lookup(chunks, total, distinct, lambda words: encode_words(words, path), "struct<ids: binary, odd: string>", at, "words")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, words, ids, odd = None, None, None, None
@@ -133,9 +130,8 @@ def encoded(documents: DataFrame, path: str) -> DataFrame:
                 words, v = values_of(folder, chunk, VALUE)
                 ids, odd, now = listed(v.field("ids"), path), v.field("odd"), chunk
                 del v
-            step = max(1, b.num_rows * LOOK_UP // max(1, b.nbytes))
-            for k in range(0, b.num_rows, step):
-                parts = [split(t, path) if t else [] for t in b.column(2).slice(k, step).to_pylist()]
+            for part in looked_up(b):
+                parts = [split(t, path) if t else [] for t in part.column(2).to_pylist()]
                 sizes = np.array([len(p) for p in parts])
                 flat = pa.array(list(chain.from_iterable(parts)), pa.string())
                 del parts
@@ -144,24 +140,26 @@ def encoded(documents: DataFrame, path: str) -> DataFrame:
                     raise KeyError("a word is missing from its chunk's table")
                 lists = joined(ids.take(place), sizes, ",")
                 n = pc.if_else(pc.equal(lists, ""), 0, pc.add(pc.count_substring(lists, ","), 1)).cast(pa.int64())
-                texts = joined(pc.coalesce(odd.take(place), flat), sizes, "")
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(k, step), n, lists, texts], ["doc_id", "n_tokens", "ids", "decoded"])
+                out = finish(lists, joined(pc.coalesce(odd.take(place), flat), sizes, ""))
+                yield pa.RecordBatch.from_arrays([part.column(1), n, *out], ["doc_id", "n_tokens", *names])
+
+    kind, names = documents.schema["doc_id"].dataType.simpleString(), [c.split()[0] for c in schema.split(", ")]
+    return chunks.mapInArrow(lean(join), f"doc_id {kind}, n_tokens bigint, {schema}")
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return chunks.mapInArrow(lean(join), f"doc_id {kind}, n_tokens bigint, ids string, decoded string")
+
+def encoded(documents: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids (decimal, comma-joined), decoded: a row for each row. A null text counts as empty. doc_id may
+    have any type; other columns are ignored."""
+    return _encoded(documents, path, lambda ids, decoded: [ids, decoded], "ids string, decoded string")
 
 
 def digests(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    e = encoded(documents, path)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sha = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in b.column(c).to_pylist()], pa.string()) for c in (2, 3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *sha], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def sha(c: pa.Array) -> pa.Array:
+        return pa.array([hashlib.sha256(x.encode()).hexdigest() for x in c.to_pylist()], pa.string())
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return e.mapInArrow(lean(digest), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return _encoded(documents, path, lambda ids, decoded: [sha(ids), sha(decoded)], "ids_sha256 string, decoded_sha256 string")
 
 
 def default_path() -> str:

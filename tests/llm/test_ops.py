@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, chat, decontam, langid, lm, neardup, quality, search, secrets, warc
+from skein.llm import _chunks, bpe, chat, decontam, langid, lm, neardup, quality, search, secrets, warc
 
 T = "doc_id bigint, text string, lang string, extra string"
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(30_000))
@@ -72,6 +72,21 @@ def test_bpe_round_trip(spark, edge, none):
     assert bpe.digests(none, bpe.default_path()).isEmpty() and bpe.digests(edge, bpe.default_path()).count() == len(EDGE)
 
 
+def test_bpe_words_in_pieces(spark, edge):
+    """Digests pass through one worker; a word's bucket doesn't depend on its place; pieces of text are small."""
+    d = bpe.digests(edge, bpe.default_path())
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = sorted((r.doc_id, r.n_tokens, sha(r.ids), sha(r.decoded)) for r in bpe.encoded(edge, bpe.default_path()).collect())
+    assert sorted(map(tuple, d.collect())) == want
+    words = [f"wörd{i}" for i in range(40_000)]
+    one, two = (_chunks.shares(pa.array(w), 7) for w in (words, words[::-1]))
+    assert one.tolist() == two[::-1].tolist() and set(one.tolist()) == set(range(7))
+    b = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 9000)], ["text"])
+    parts = list(_chunks.looked_up(b))
+    assert sum(p.num_rows for p in parts) == 9000 and max(p.num_rows for p in parts) <= 1100
+
+
 def test_quality(spark, edge, none):
     good = [(i, " ".join(f"word{(i * 7 + k) % 50}" for k in range(80))) for i in range(40)]
     bad = [(100 + i, "buy!!! $$$ " * 40) for i in range(20)]
