@@ -419,3 +419,79 @@ def test_bands_and_sketch_keep_links():
         lost["bands"] += not (agree == 4).any()
         lost["sketch"] += flips > allowed
     assert lost["sketch"] == 0 and lost["bands"] <= 1
+
+
+def lm_model(train, slots=(12, 12, 12)):
+    """A small model: counts of the bits of ``train`` by slot, made one by one."""
+    pairs = np.zeros((256, 256), np.int64)
+    counts = [np.zeros((1 << s, 2), np.int64) for s in slots]
+    for t in train:
+        for a, b in zip(b"\xff" + t, t + b"\xff"):
+            pairs[a, b] += 1
+    model = lm.Model(lm.Paths(pairs), list(slots))
+    for t in train:
+        for bit, *where in lm_bits(model, t):
+            for c, s in zip(counts, where):
+                c[s, bit] += 1
+    model.tables = [lm.packed(c[:, 0], c[:, 1]) for c in counts]
+    return model, counts
+
+
+def lm_bits(model, text):
+    b, starts, lengths = lm.join([text])
+    pair, ctx = model.coded(b)
+    _, bit, slots = model.bits(pair[: lengths[0]], [c[: lengths[0]] for c in ctx])
+    return list(zip(bit.tolist(), *(s.tolist() for s in slots)))
+
+
+def test_lm_mixes_online_bit_by_bit(monkeypatch):
+    """Against plain Python: weights of the gated set change after each bit, counts grow by each bit of the text."""
+    r = random.Random(7)
+    words = [bytes(r.choice(b"aeinrst") for _ in range(r.randrange(1, 6))) for _ in range(40)]
+    ts = [b" ".join(r.choice(words) for _ in range(n)) for n in (0, 1, 3, 30, 30, 400, 2000)]
+    model, counts = lm_model(ts[3:5])
+    model.start = np.array([[0.3, 0.1, 0.2], [0.5, 0.4, 0.1], [0.2, 0.2, 0.2], [0.4, 0.3, 0.3]])
+
+    def plain(text):
+        c = [{} for _ in counts]
+        w, cost = model.start.tolist(), 0.0
+        for bit, *where in lm_bits(model, text):
+            n = []
+            for table, own, s in zip(counts, c, where):
+                mine = own.setdefault(s, [0, 0])
+                n.append([table[s, k] + float(lm.LOCAL) * mine[k] for k in (0, 1)])
+                mine[bit] += 1
+            x = [math.log((b + 0.4) / (a + 0.4)) for a, b in n]
+            v = w[(sum(n[1]) > 0) + 2 * (sum(n[2]) > 0)]
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(v, x))))
+            cost -= math.log(p if bit else 1 - p)
+            for i in range(3):
+                v[i] += lm.RATE * (bit - p) * x[i]
+        return cost
+
+    want = [plain(t) for t in ts]
+    got = [0.0] * len(ts)
+    for x, y, cost in model.costs(ts):
+        _, starts, lengths = lm.join(ts[x:y])
+        for i, a, n in zip(range(x, y), starts - lm.PAD, lengths):
+            got[i] = float(cost[a : a + n].sum(dtype=float))
+    assert got == pytest.approx(want, rel=1e-4)
+    monkeypatch.setattr(lm, "PIECE", 700)  # a long text in many parts
+    assert [float(model.long_costs(t).sum(dtype=float)) for t in ts] == pytest.approx(want, rel=1e-4)
+
+
+def test_lm_start_is_fitted_on_texts_taken_out_of_the_counts():
+    r = random.Random(3)
+    ts = [b" ".join(bytes(r.choice(b"aent") for _ in range(r.randrange(1, 5))) for _ in range(30)) for _ in range(6)]
+    model, counts = lm_model(ts)
+    bits = np.array(lm_bits(model, ts[5]))
+    got = model.inputs(bits[:, 0], list(bits[:, 1:].T), np.zeros(len(bits), np.int64), True)
+    for i, c in enumerate(counts):
+        np.subtract.at(c, (bits[:, 1 + i], bits[:, 0]), 1)
+    model.tables = [lm.packed(c[:, 0], c[:, 1]) for c in counts]
+    want = model.inputs(bits[:, 0], list(bits[:, 1:].T), np.zeros(len(bits), np.int64))
+    model.tables = lm_model(ts)[0].tables
+    assert all(c.max() <= 256 for c in counts)
+    np.testing.assert_allclose(got[0], want[0], rtol=1e-4, atol=1e-6)
+    np.testing.assert_array_equal(got[1], want[1])
+    assert not np.allclose(model.fit(ts), lm.EQUAL)
