@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import _chunks, bpe, chat, decontam, langid, lm, neardup, quality, search, secrets, warc
+from skein.llm._jvm import function
 
 T = "doc_id bigint, text string, lang string, extra string"
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(30_000))
@@ -480,6 +481,27 @@ def test_lm_mixes_online_bit_by_bit(monkeypatch):
     assert [float(model.long_costs(t).sum(dtype=float)) for t in ts] == pytest.approx(want, rel=1e-4)
 
 
+def test_lm_in_java_costs_what_numpy_does(spark, tmp_path):
+    """Texts of odd lengths, bytes and spacing, one with counts that outgrow its first map: the costs of their stretches."""
+    r = random.Random(11)
+    words = ["".join(r.choice("aeiNRSTé") for _ in range(r.randrange(1, 6))) for _ in range(60)]
+    ts = ["", " ", "a", " a  b", "Ab c ", "\n\nx", "é" * 3000, *("".join(r.choice(words) + r.choice([" ", "  ", "\n"]) for _ in range(n)) for n in (3, 30, 400, 9000))]
+    model, _ = lm_model([lm.low(t) for t in ts[8:10]], (12, 14, 18))
+    model.start = np.array([[0.3, 0.1, 0.2], [0.5, 0.4, 0.1], [0.2, 0.2, 0.2], [0.4, 0.3, 0.3]])
+    (tmp_path / "model").write_bytes(b"".join(model.dump()))
+    d = spark.createDataFrame([(i, t) for i, t in enumerate([*ts, None])], "i int, t string")
+    got = dict(d.select("i", function(spark, "Mixing", f"file://{tmp_path}/model", F.col("t").cast("binary"))).collect())
+    assert got[len(ts)] == got[0]
+    for i, t in enumerate(ts):
+        b = np.frombuffer(lm.low(t) + b"\xff", np.uint8)
+        solid = lm.SOLID[b]
+        after_word = np.concatenate([[False, False], solid])[: len(b)] & ~np.concatenate([[True], solid])[: len(b)]
+        marks = ~np.concatenate([[False], solid])[: len(b)] & (solid | after_word)
+        marks[0] = True
+        want = np.add.reduceat(model.long_costs(lm.low(t)).astype(float), np.flatnonzero(marks))
+        np.testing.assert_allclose(np.frombuffer(got[i], "<f4"), want, rtol=1e-3, atol=1e-4)
+
+
 def test_lm_start_is_fitted_on_texts_taken_out_of_the_counts():
     r = random.Random(3)
     ts = [b" ".join(bytes(r.choice(b"aent") for _ in range(r.randrange(1, 5))) for _ in range(30)) for _ in range(6)]
