@@ -45,6 +45,28 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """``df`` written like ``saved``, hashed by a column: joins and groups by that column read it without a shuffle."""
+    spark = df.sparkSession
+    name = f"graph_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, column).write.format("parquet").bucketBy(n, column).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``saved`` or ``bucketed`` wrote, once nothing reads it any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            name = folder.rpartition("/")[2]
+            if name.startswith("graph_"):
+                df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def uuid5(namespace: str, name: Column) -> Column:
     """RFC 4122 version 5, as a string."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))

@@ -12,9 +12,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..model import Graph, saved
+from ..model import Graph, bucketed, discard, saved
 from . import write
 
 RFC3339 = r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"
@@ -205,18 +206,37 @@ def run_loop(g: Graph, enrichments: dict[str, Callable[[Graph], DataFrame]], max
 
 
 def pagerank(g: Graph, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(id, pagerank): weights ignored, dangling mass spread evenly."""
+    """(id, pagerank): weights ignored, dangling mass spread evenly.
+
+    Ranks are sums of what one unit for each node becomes after 0, 1, ... steps along the edges (``y``), since all that
+    a round adds besides is the same for every node. What to multiply them by follows from their totals, so the rounds
+    carry only nodes that so many steps reach, and end early where there are none (a graph without cycles)."""
     nodes = saved(g.nodes.select("id").distinct())
     n = nodes.count()
-    e = g.edges.select("source", "target").distinct()
-    out = saved(e.join(e.groupBy("source").agg(F.count("*").alias("deg")), "source"))
-    r = nodes.withColumn("r", F.lit(1.0 / max(n, 1)))
-    for k in range(rounds):
-        got = out.join(r.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("r") / F.col("deg")).alias("in"))
-        mass = F.lit(1.0) - F.lit(got.agg(F.coalesce(F.sum("in"), F.lit(0.0))).first()[0])
-        r = nodes.join(got, "id", "left").select("id", ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + mass / n)).alias("r"))
-        r = saved(r) if k % 5 == 4 or k == rounds - 1 else r
-    return r.withColumnRenamed("r", "pagerank")
+    if not n:
+        return nodes.withColumn("pagerank", F.lit(0.0))
+    size = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = g.edges.select("source", "target").repartition(size, "source").distinct()
+    out = bucketed(e.withColumn("deg", F.count("*").over(W.partitionBy("source"))), "source")
+    ys, totals = [nodes.select("id", F.lit(1.0).alias("y"))], []
+    for _ in range(rounds):
+        got = out.join(ys[-1].withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("y") / F.col("deg")).alias("y"))
+        y = saved(got.join(nodes.withColumn("known", F.lit(True)), "id", "left"))
+        totals.append(y.agg(F.coalesce(F.sum("y"), F.lit(0.0))).first()[0])
+        ys.append(y.where("known").drop("known"))
+        if not totals[-1]:
+            break
+    c = [1 / n]
+    for _ in range(rounds):
+        mass = 1 - sum(a * b for a, b in zip(c, totals))
+        c = [(1 - damping) / n + damping * mass / n, *(damping * x for x in c)]
+    terms = None
+    for y, k in zip(ys, c):
+        term = y.select("id", (F.col("y") * k).alias("y"))
+        terms = term if terms is None else terms.union(term)
+    r = saved(terms.groupBy("id").agg(F.sum("y").alias("pagerank")))
+    discard(out, *ys)
+    return r
 
 
 def components(g: Graph) -> DataFrame:
