@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import DataFrame
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import string_of
 from ..model import Graph, saved, shared_folder
 from . import enrich
+from .blocks import between
 
 VECTOR = "node_id string, model string, embedding array<float>"
 #: Neighbours that a search returns for each vector.
@@ -53,35 +53,13 @@ class VectorStore:
 
     def find_similar(self, queries: DataFrame, model: str, threshold: float, k: int | None = NEAREST) -> DataFrame:
         """(id, other, similarity) of the ``k`` nearest other vectors (None: all) of at least the threshold."""
-        found = between(queries, self.all(queries.sparkSession, model), threshold)
+        found = between(queries, self.all(queries.sparkSession, model), threshold, k)
         if k is None:
             return found
         best = W.partitionBy("id").orderBy(F.desc("similarity"), "other")
         return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
 
-def between(some: DataFrame, others: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
-    """(id, other, similarity): pairs of a row of ``some`` and another of ``others`` (id, embedding) whose cosine is at
-    least the threshold. Every block of one meets every block of the other, so no task holds more than two blocks."""
-    n, m = (max(1, -(-x.count() // block)) for x in (some, others))
-    a = some.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("y"), F.lit(True).alias("asks"))
-    b = others.select("id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("x"), F.pmod(F.xxhash64("id"), F.lit(m)).cast("int").alias("y"), F.lit(False).alias("asks"))
-
-    def product(t: pa.Table) -> pa.Table:
-        ids, asks = np.array(t.column("id").to_pylist(), object), t.column("asks").to_numpy()
-        width = max((len(v) for v in t.column("embedding").to_pylist()), default=0)
-        e = np.array([v + [0.0] * (width - len(v)) for v in t.column("embedding").to_pylist()], float).reshape(len(ids), width)
-        norm = np.linalg.norm(e, axis=1, keepdims=True)
-        e = np.divide(e, norm, out=np.zeros_like(e), where=norm > 0)
-        i, j = np.flatnonzero(asks), np.flatnonzero(~asks)
-        s = e[i] @ e[j].T
-        p, q = np.nonzero(s >= threshold)
-        keep = ids[i[p]] != ids[j[q]]
-        return pa.table({"id": pa.array(ids[i[p]][keep].tolist(), pa.string()), "other": pa.array(ids[j[q]][keep].tolist(), pa.string()), "similarity": pa.array(s[p, q][keep], pa.float64())})
-
-    return a.unionByName(b).groupBy("x", "y").applyInArrow(product, "id string, other string, similarity double")
-
-
 def embedder(model: Callable[[list[str]], list[list[float]]]) -> Callable[[DataFrame], DataFrame]:
     """An embedder from a function of a batch of labels, run in Arrow batches."""
 

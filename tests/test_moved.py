@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from skein.model import EDGE, NODE, Graph, shared_folder
@@ -62,3 +63,51 @@ def test_pagerank_moves_each_edge_a_few_times_and_leaves_one_table(spark):
     rows, left = shuffled(spark), tables(spark)
     enrich.pagerank(g)
     assert shuffled(spark) - rows < 8 * len(pairs) and tables(spark) - left == 1
+
+
+def vectors(spark, n, width=6, seed=3):
+    e = np.random.default_rng(seed).standard_normal((n, width)).astype(np.float32)
+    e[n // 2] = e[0]
+    return e, spark.createDataFrame([(f"v{i}", x.tolist(), i % 3) for i, x in enumerate(e)], "id string, embedding array<float>, label int")
+
+
+def test_nearest_vectors_leave_a_task_as_few_and_are_sent_to_few_blocks(spark, tmp_path):
+    from skein.operators import vectors as V
+
+    n = 2_500
+    e, v = vectors(spark, n)
+    store = V.VectorStore(str(tmp_path))
+    store.store(v, "m")
+    rows = shuffled(spark)
+    got = store.find_similar(v, "m", 0.2, 3).collect()
+    assert shuffled(spark) - rows < 60 * n
+    u = e.astype(float) / np.linalg.norm(e.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    best = np.sort(s, axis=1)[:, :-4:-1]
+    near = {}
+    for r in got:
+        near.setdefault(r.id, []).append(r.similarity)
+    assert len(near) == n
+    assert all(sorted(near[f"v{i}"], reverse=True) == pytest.approx(best[i][best[i] >= 0.2], abs=1e-6) for i in range(n))
+
+
+def test_blocks_follow_the_input_up_to_what_a_task_holds():
+    from skein.operators import blocks
+
+    assert [blocks.number(n) for n in (0, 2_048, 2_049, 100_000, 500_000, 655_360)] == [1, 1, 2, 8, 8, 10]
+    s = np.random.default_rng(1).integers(0, 9, (50, 4)).astype(float)
+    t = np.random.default_rng(2).integers(0, 9, (900, 4)).astype(float)
+    found = {(i, j) for a, b, _ in blocks.products(s, t, 0, 4) for i, j in zip(a, b)}
+    whole = s @ t.T
+    assert found >= {(i, j) for i in range(50) for j in range(900) if whole[i, j] >= np.sort(whole[i])[-4]} and len(found) < 5_000
+
+
+def test_pairs_are_brute_force(spark):
+    from skein.operators import blocks
+
+    e, v = vectors(spark, 2_100)
+    u = e.astype(float) / np.linalg.norm(e.astype(float), axis=1, keepdims=True)
+    i, j = np.nonzero(u @ u.T >= 0.97)
+    want = {(f"v{a}", f"v{b}", a % 3, b % 3) for a, b in zip(i.tolist(), j.tolist()) if f"v{a}" < f"v{b}"}
+    assert {(r.source, r.target, r.source_label, r.target_label) for r in blocks.pairs(v, 0.97, ("label",)).collect()} == want
