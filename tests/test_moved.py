@@ -111,3 +111,22 @@ def test_pairs_are_brute_force(spark):
     i, j = np.nonzero(u @ u.T >= 0.97)
     want = {(f"v{a}", f"v{b}", a % 3, b % 3) for a, b in zip(i.tolist(), j.tolist()) if f"v{a}" < f"v{b}"}
     assert {(r.source, r.target, r.source_label, r.target_label) for r in blocks.pairs(v, 0.97, ("label",)).collect()} == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_discovery_gap_gathers_each_edge_once(spark, seed):
+    r = random.Random(seed)
+    ids = [f"n{i:02}" for i in range(40)]
+    keys = sorted({(r.choice(ids), r.choice(ids), r.choice(["similar_to"] * 6 + ["discovery_gap", "cites"])) for _ in range(700)})
+    rows = [(a, b, k, "d", "d", {}, r.random(), {}, i) for i, (a, b, k) in enumerate(keys)]
+    g = Graph(spark.createDataFrame([(i, "n", "document", "d", {}) for i in ids], NODE), spark.createDataFrame(rows, EDGE))
+    there = {k[:2] for k in keys if k[2] == "discovery_gap"}
+    known = {p for a, b, k in keys if k == "cites" for p in ((a, b), (b, a))}
+    want = {}
+    for a, b, k, *_, w, _, seq in rows:
+        if k == "similar_to" and (a, b) not in known | there:
+            for p in {(a, b), (b, a)} - there:
+                want[p] = max(want.get(p, (-1,)), (seq, w))
+    before = shuffled(spark)
+    got = {(e.source, e.target): e.raw_weight for e in enrich.discovery_gap(g).collect()}
+    assert got == {p: w for p, (_, w) in want.items()} and shuffled(spark) - before <= len(rows)
