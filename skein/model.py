@@ -45,13 +45,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, column: str) -> DataFrame:
-    """``df`` written like ``saved``, hashed by a column: joins and groups by that column read it without a shuffle."""
+def bucketed(df: DataFrame, column: str, there: bool = False) -> DataFrame:
+    """``df`` written like ``saved``, hashed by a column: joins and groups by that column read it without a shuffle.
+    ``there``: it is made of other such tables by that column, and needs no shuffle to be written."""
     spark = df.sparkSession
     name = f"graph_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, column).write.format("parquet").bucketBy(n, column).option("path", path).saveAsTable(name)
+    (df if there else df.repartition(n, column)).write.format("parquet").bucketBy(n, column).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 

@@ -215,15 +215,45 @@ def pagerank(g: Graph, rounds: int = 20, damping: float = 0.85) -> DataFrame:
 
 
 def components(g: Graph) -> DataFrame:
-    """(id, component): the least id of the weakly connected component; label propagation with pointer jumping."""
-    e = g.edges.select("source", "target")
-    both = saved(e.union(e.select("target", "source")).distinct().toDF("v", "o"))
-    lab = saved(g.nodes.select(F.col("id").alias("v"), F.col("id").alias("label")).distinct())
-    while True:
-        near = both.join(lab.toDF("o", "l"), "o").groupBy("v").agg(F.min("l").alias("l"))
-        low = lab.join(near, "v", "left").select("v", "label", F.least("label", F.coalesce("l", "label")).alias("low"))
-        jump = low.select(F.col("v").alias("low"), F.col("low").alias("j"))
-        new = saved(low.join(jump, "low", "left").select("v", F.least("low", F.coalesce("j", "low")).alias("label"), (F.least("low", F.coalesce("j", "low")) != F.col("label")).alias("moved")))
-        lab = new.select("v", "label")
-        if new.where("moved").isEmpty():
-            return lab.toDF("id", "component")
+    """(id, component): the least id of the weakly connected component.
+
+    In a round each vertex points to its least neighbour if that is less, pointers are followed to their ends, and the
+    edges between ends are those of the next round. The least id of a component stays to the last. Edges are held by
+    their greater end, so pointers are found where they are. Edges at ends that aren't nodes don't count; that a lesser
+    end isn't one shows when the edges meet the pointers, and then the first round begins again without them."""
+    size = int(g.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = bucketed(g.nodes.select(F.col("id").alias("v")).distinct(), "v")
+    s, t = F.col("source"), F.col("target")
+    e = g.edges.where(s != t).select(F.greatest(s, t).alias("v"), F.least(s, t).alias("o"))
+    e = bucketed(e.join(ids, "v", "left_semi"), "v")
+    ends, node = [], ids.select(F.col("v").alias("o"), F.lit(True).alias("node"))
+    while not e.isEmpty():
+        p = bucketed(e.groupBy("v").agg(F.min("o").alias("m")), "v", True)
+        step = p.select(F.col("v").alias("m"), F.col("m").alias("n"))
+        far = [saved(p.join(step, "m").select("v", F.col("n").alias("m"), F.lit(True).alias("moved")))]
+        while not far[-1].where("moved").isEmpty():
+            o = far[-1]
+            x = o.where("moved").join(o.select(F.col("v").alias("m"), F.col("m").alias("k")), "m", "left").join(step, "m", "left")
+            x = x.select("v", F.coalesce("k", "n", "m").alias("m"), F.coalesce("k", "n").isNotNull().alias("moved"))
+            far.append(saved(o.where("not moved").union(x)))
+        root = bucketed(p.join(far[-1].select("v", F.col("m").alias("n")), "v", "left").select("v", F.coalesce("n", "m").alias("root")), "v", True)
+        r = lambda c: root.select(F.col("v").alias(c), F.col("root").alias(f"{c}r"))
+        x = e.join(r("v"), "v", "left").select(F.coalesce("vr", "v").alias("v"), "o").join(r("o"), "o", "left")
+        x = x.withColumn("node", F.lit(True)) if ends else x.join(node, "o", "left")
+        x = x.select("v", F.coalesce("or", "o").alias("o"), "node").where("v <> o or node is null").select(F.greatest("v", "o").alias("v"), F.least("v", "o").alias("o"), "node")
+        x = bucketed(x.repartition(size, "v").distinct(), "v", True)
+        discard(p, *far)
+        if not ends and not x.where("node is null").isEmpty():  # pointers were to what isn't a node
+            again = bucketed(e.join(node, "o", "left_semi"), "v")
+            discard(x, root, e)
+            e = again
+            continue
+        discard(e)
+        e = x.select("v", "o")
+        ends.append(root)
+    lab = ids.select("v", F.col("v").alias("label"))
+    for root in ends:
+        lab = lab.join(root.select(F.col("v").alias("label"), "root"), "label", "left").select("v", F.coalesce("root", "label").alias("label"))
+    lab = saved(lab.toDF("id", "component"))
+    discard(ids, e, *ends)
+    return lab

@@ -130,3 +130,34 @@ def test_discovery_gap_gathers_each_edge_once(spark, seed):
     before = shuffled(spark)
     got = {(e.source, e.target): e.raw_weight for e in enrich.discovery_gap(g).collect()}
     assert got == {p: w for p, (_, w) in want.items()} and shuffled(spark) - before <= len(rows)
+
+
+def parts(pairs, ids):
+    label = {i: i for i in ids}
+    while True:
+        new = dict(label)
+        for a, b in pairs:
+            if a in new and b in new:
+                new[a] = new[b] = min(new[a], new[b])
+        if new == label:
+            return label
+        label = new
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_components_follow_chains_and_skip_missing_ends(spark, missing):
+    r = random.Random(4)
+    ids = [f"n{i:03}" for i in range(120)]
+    chain = ids[:20]
+    pairs = list(zip(chain, chain[1:])) + [(ids[39], x) for x in ids[20:39]] + [(r.choice(ids[40:]), r.choice(ids[40:])) for _ in range(50)] + [("n050", "n050")]
+    pairs += [("a", "n001"), ("a", "n030"), ("z", "n040"), ("z", "n070"), ("a", "b"), ("n100", "a")] * missing
+    got = {x.id: x.component for x in enrich.components(graph(spark, pairs, ids)).collect()}
+    assert got == parts(pairs, ids) and len(set(got.values())) > 10
+
+
+def test_components_move_each_edge_a_few_times(spark):
+    pairs = layers(5, 150)
+    g = graph(spark, pairs, sorted({x for p in pairs for x in p}))
+    rows, left = shuffled(spark), tables(spark)
+    enrich.components(g)
+    assert shuffled(spark) - rows < 7 * len(pairs) and tables(spark) - left <= 2
