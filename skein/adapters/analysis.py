@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import js
-from ..model import Graph
+from ..model import Graph, bucketed, discard
 from ..operators import enrich
 from ..operators.write import Emission
 
@@ -31,16 +31,34 @@ def external(results: DataFrame) -> Emission:
 
 
 def label_propagation(g: Graph, rounds: int = 5) -> DataFrame:
-    """(id, community): in each round a node takes the label that most of its neighbours have, the least on a tie."""
-    from ..model import saved
-
-    e = g.edges.select("source", "target").where("source <> target")
-    both = saved(e.union(e.select("target", "source")).distinct().toDF("v", "o"))
-    lab = saved(g.nodes.select(F.col("id").alias("v"), F.col("id").alias("l")).distinct())
-    for _ in range(rounds):
-        votes = both.join(lab.toDF("o", "l"), "o").groupBy("v", "l").agg(F.count("*").alias("n"))
-        best = votes.groupBy("v").agg(F.max_by("n", "n").alias("n"), F.min(F.struct((-F.col("n")).alias("o"), "l")).alias("b"))
-        lab = saved(lab.join(best.select("v", F.col("b.l").alias("new")), "v", "left").select("v", F.coalesce("new", "l").alias("l")))
+    """(id, community): in each round a node takes the label that most of its neighbours have, the least on a tie.
+
+    Edges are held twice, by their greater and by their lesser end, so labels meet them where they are and only votes are
+    shuffled. In the first round all labels differ, and the least neighbour wins."""
+    size = int(g.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = bucketed(g.nodes.select(F.col("id").alias("v")).distinct(), "v")
+    node = lambda c: ids.withColumnRenamed("v", c)
+    s, t = F.col("source"), F.col("target")
+    e = g.edges.where(s != t).select(F.greatest(s, t).alias("x"), F.least(s, t).alias("y")).repartition(size, "x").distinct()
+    by_x = bucketed(e.join(node("x"), "x", "left_semi"), "x", True)
+    by_y = bucketed(by_x.repartition(size, "y").join(node("y"), "y", "left_semi"), "y", True)
+    if by_y.count() < by_x.count():  # a lesser end isn't a node
+        by_x, old = bucketed(by_y, "x"), by_x
+        discard(old)
+    lab = ids.withColumn("l", F.col("v"))
+    for k in range(rounds):
+        if k:
+            votes = by_x.join(lab.toDF("x", "l"), "x").select(F.col("y").alias("v"), "l").union(by_y.join(lab.toDF("y", "l"), "y").select(F.col("x").alias("v"), "l"))
+            votes = votes.repartition(size, "v").groupBy("v", "l").agg(F.count("*").alias("n"))
+            best = votes.groupBy("v").agg(F.min(F.struct((-F.col("n")).alias("o"), "l")).alias("b")).select("v", F.col("b.l").alias("new"))
+        else:
+            best = by_x.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("new"))
+            other = by_y.groupBy(F.col("y").alias("v")).agg(F.min("x").alias("new2"))
+            best = ids.join(best, "v", "left").join(other, "v", "left").select("v", F.least("new", "new2").alias("new"))
+        old, lab = lab, bucketed(lab.join(best, "v", "left").select("v", F.coalesce("new", "l").alias("l")), "v", True)
+        if k:
+            discard(old)
+    discard(by_x, by_y, *([ids] if rounds else []))
     return lab.toDF("id", "community")
 
 

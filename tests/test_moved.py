@@ -161,3 +161,22 @@ def test_components_move_each_edge_a_few_times(spark):
     rows, left = shuffled(spark), tables(spark)
     enrich.components(g)
     assert shuffled(spark) - rows < 7 * len(pairs) and tables(spark) - left <= 2
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_label_propagation_moves_votes_only(spark, missing):
+    from skein.adapters import analysis
+
+    r = random.Random(6)
+    ids = [f"n{i:03}" for i in range(150)]
+    pairs = [(r.choice(ids), r.choice(ids)) for _ in range(900)]
+    pairs += [(b, a) for a, b in pairs[:50]] + [(ids[3], ids[3])] + [("a", ids[1]), ("z", ids[2]), ("a", "z")] * missing
+    near = {i: {b for p in pairs for a, b in (p, p[::-1]) if a == i != b and b in ids} for i in ids}
+    label = {i: i for i in ids}
+    for _ in range(3):
+        votes = {i: [label[o] for o in near[i]] for i in ids}
+        label = {i: min(set(v), key=lambda x: (-v.count(x), x)) if v else label[i] for i, v in votes.items()}
+    g = graph(spark, pairs, ids)
+    rows, left = shuffled(spark), tables(spark)
+    got = {x.id: x.community for x in analysis.label_propagation(g, 3).collect()}
+    assert got == label and shuffled(spark) - rows < 8 * len(pairs) and tables(spark) - left == 1
