@@ -93,8 +93,12 @@ class Result:
                 continue
             d, n = self.changed[kind], n + 1
             ids = d.select((F.col("id") if nodes else edge_id(context)).alias("id"))
-            part = F.pmod(F.xxhash64("id"), F.lit(-(-size // EVENT_IDS))).cast("int").alias("part")
-            e = ids.groupBy(part).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+            ids = ids.select("id", F.pmod(F.xxhash64("id"), F.lit(-(-size // EVENT_IDS))).cast("int").alias("part"))
+            if not nodes:  # 32 bytes of a digest instead of 64 digits
+                ids = ids.select(F.unhex("id").alias("id"), "part")
+            e = ids.groupBy("part").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+            if not nodes:
+                e = e.withColumn("ids", F.transform("ids", lambda x: F.lower(F.hex(x))))
             none = F.array().cast("array<string>")
             e = e.select(F.lit(n).cast("bigint").alias("sequence"), "part", F.lit(context).alias("context_id"), F.lit(event).alias("event_type"), (F.col("ids") if nodes else none).alias("node_ids"), (none if nodes else F.col("ids")).alias("edge_ids"), F.lit(adapter).alias("adapter_id"), F.lit(reason).cast("string").alias("reason"), F.current_timestamp().alias("created_at"))
             out = e if out is None else out.unionByName(e)
