@@ -86,7 +86,7 @@ def shortest_path(g: Graph, source: str, target: str, max_length: int = 10, dire
     if source == target:
         return [{"id": source, "via": None}]
     e = g.where_edges(edge_cond(relationship, None, edge_filter)).edges
-    adj = saved(adjacency(e.select("source", "target", "relationship", "seq"), direction))
+    adj = adjacency(saved(e.select("source", "target", "relationship", "seq")), direction)
     seen = saved(spark.createDataFrame([(source,)], "id string"))
     frontier, levels = seen, []
     for _ in range(max_length):

@@ -180,3 +180,52 @@ def test_label_propagation_moves_votes_only(spark, missing):
     rows, left = shuffled(spark), tables(spark)
     got = {x.id: x.community for x in analysis.label_propagation(g, 3).collect()}
     assert got == label and shuffled(spark) - rows < 8 * len(pairs) and tables(spark) - left == 1
+
+
+def test_temporal_pairs_meet_once_in_two_buckets(spark):
+    r = random.Random(8)
+    times = [r.randrange(0, 5_000) for _ in range(150)] + [-70, -1, 0, 99, 100, 100, 4_000]
+    n = spark.createDataFrame([(f"t{i}", "fragment", "document", "d", {"created_at": str(m)}) for i, m in enumerate(times)], NODE)
+    rows = shuffled(spark)
+    got = [(e.source, e.target) for e in enrich.temporal_proximity(Graph(n, graph(spark, [], ["x"]).edges), threshold_ms=100).collect()]
+    moved = shuffled(spark) - rows
+    want = {(f"t{i}", f"t{j}") for i, a in enumerate(times) for j, b in enumerate(times) if i != j and abs(a - b) <= 100}
+    assert len(got) == len(want) and set(got) == want and moved <= 3 * len(times)
+
+
+def test_ranks_by_source_need_the_edges_of_those_sources(spark):
+    from skein.operators import read
+
+    pairs = layers(9)
+    g = graph(spark, pairs, sorted({x for p in pairs for x in p}))
+    origin = pairs[0][0]
+    levels, edges = read.traverse(g, origin, 1)
+    edges, rows = edges.cache(), shuffled(spark)
+    edges.count()
+    rows = shuffled(spark)
+    got = {x.id: x.score for x in read.rank(levels, edges, "normalized", read.outgoing_divisive, g.edges).collect()}
+    out = [b for a, b in pairs if a == origin]
+    assert got == {i: pytest.approx(1 / len(out)) for i in [origin, *out]} and shuffled(spark) - rows < len(pairs) / 2
+
+
+def test_events_carry_digests_in_32_bytes(spark):
+    from skein.model import edge_id
+    from skein.operators import write
+
+    pairs = layers(10)
+    g = graph(spark, pairs, sorted({x for p in pairs for x in p}))
+    e = write.apply(g, write.Emission(removals=g.nodes.where("id like 'l1%'").select("id")), "x").events("x")
+    assert "unhex" in e._jdf.queryExecution().toString()
+    (ids,) = [x.edge_ids for x in e.collect() if x.event_type == "EdgesRemoved"]
+    gone = g.edges.where("source like 'l1%' or target like 'l1%'")
+    assert ids == sorted(x.i for x in gone.select(edge_id().alias("i")).collect())
+
+
+def test_path_edges_join_the_steps_before_edges_are_shuffled(spark, tmp_path):
+    from skein.plans import engine
+    from tests.test_graph import commerce
+
+    commerce(spark, tmp_path)
+    t = engine.QUERIES["path_edges"](spark, str(tmp_path))
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and t.first().edges == 0  # there is no region:2
