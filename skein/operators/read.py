@@ -188,16 +188,25 @@ def outgoing_divisive(edges: DataFrame) -> DataFrame:
     return edges.withColumn("normalized_weight", F.when(total == 0, F.lit(0.0)).otherwise(F.col("raw_weight") / F.nullif(total, F.lit(0.0))))
 
 
+#: Normalisations that need no edges but those of the same source.
+BY_SOURCE = {outgoing_divisive}
+
+
 def softmax(edges: DataFrame) -> DataFrame:
     e = edges.withColumn("_x", F.exp(F.col("raw_weight") - F.max("raw_weight").over(per_source())))
     return e.withColumn("normalized_weight", F.col("_x") / F.sum("_x").over(per_source())).drop("_x")
 
 
+BY_SOURCE.add(softmax)
+
+
 def rank(levels: DataFrame, edges: DataFrame, by: str = "raw_weight", normalize: Callable[[DataFrame], DataFrame] | None = None, all_edges: DataFrame | None = None) -> DataFrame:
     """(id, level, score, pos): within each level by descending score: the greatest value of an edge at the node, at
     least 0. ``by``: raw_weight, corroboration or normalized (by ``normalize`` over ``all_edges``; of parallel edges the
     last counts)."""
     if by == "normalized":
+        if all_edges is not None and normalize in BY_SOURCE:
+            all_edges = all_edges.join(_small(saved(edges.select("source").distinct()))[0], "source", "left_semi").select("source", "target", "relationship", "seq", "raw_weight")
         n = normalize(all_edges if all_edges is not None else edges).groupBy("source", "target").agg(F.max_by("normalized_weight", F.struct("seq", "relationship")).alias("value"))
         e = edges.select("source", "target").distinct().join(n, ["source", "target"])
     else:
